@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from graphloom.llm.decontaminate import OP3_SQL, op3_decontaminate
 from graphloom.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op9_simhash": op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": OP3_SQL,
+}
