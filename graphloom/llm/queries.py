@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from graphloom.llm.decontaminate import OP3_SQL, op3_decontaminate
+from graphloom.llm.licenses import op2_licenses
 from graphloom.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
     "op9_simhash": op9_simhash,
 }
