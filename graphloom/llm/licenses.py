@@ -88,18 +88,18 @@ NAMES = (
     ("odbl-1.0", "database", r"open (?:data commons open )?database", False),
     ("odc-by-1.0", "commons", r"open data commons attribution", True),
     ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?", True),
-    ("cc-by", "cc", r"cc by(?: [1-4] [05])?", True),
+    ("cc-by", "cc", r"cc by", True),
     ("cc-by-4.0", "cc", r"cc by 4 0", True),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1-4] [05])?", True),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1-4] [05])?", True),
+    ("cc-by-sa", "cc", r"cc by sa", True),
+    ("cc-by-nc", "cc", r"cc by nc", True),
     ("cc-by-nc-4.0", "cc", r"cc by nc 4 0", True),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1-4] [05])?", True),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1-4] [05])?", True),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1-4] [05])?", True),
-    ("cc-by", "commons", r"creative commons attribution(?: [1-4] [05])?", True),
-    ("cc-by-sa", "commons", r"creative commons attribution share ?alike(?: [1-4] [05])?", True),
-    ("cc-by-nc", "commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?", True),
-    ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?", True),
+    ("cc-by-nd", "cc", r"cc by nd", True),
+    ("cc-by-nc-sa", "cc", r"cc by nc sa", True),
+    ("cc-by-nc-nd", "cc", r"cc by nc nd", True),
+    ("cc-by", "commons", r"creative commons attribution", True),
+    ("cc-by-sa", "commons", r"creative commons attribution share ?alike", True),
+    ("cc-by-nc", "commons", r"creative commons attribution non ?commercial", True),
+    ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s", True),
     ("public-domain", "domain", r"public domain", False),
     ("llama", "llama", r"llama(?: [23])?(?: [0-9])? community", True),
     ("openrail", "openrail", r"(?:creativeml )?open ?rail(?: m)?", True),
@@ -243,3 +243,50 @@ def op2_licenses(spark, sf_dir: str) -> DataFrame:
         listed(F.concat(base, more)).alias("labels"),
         F.greatest(best, F.when(F.size("base") > 0, BASE_SCORE).otherwise(0.0)).alias("score"),
     )
+
+
+def _op2_sql() -> str:
+    """The same rules for an engine without look-around: each word is padded by its own spaces."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    bare = lambda r: r.pattern.removeprefix(r"(?<![^ ])").removesuffix(r"(?![^ ])")
+    # an optional word keeps its space inside its group, so doubling spaces in the pattern is safe
+    listed = ",\n  ".join(f"({r.rule}, {r.priority}, {r.score}, {quoted(r.label)}, {quoted(' ' + r.keyword)}, {quoted(' ' + bare(r).replace(' ', '  ') + ' ')})" for r in rules())
+    return rf"""
+WITH rules(rule, priority, score, label, keyword, pattern) AS (VALUES
+  {listed}),
+d AS (
+  SELECT row_number() OVER () AS uid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+padded AS (SELECT uid, doc_id, w, CASE WHEN len(w) = 0 THEN '' ELSE ' ' || array_to_string(w, '  ') || ' ' END AS s FROM d),
+pairs AS (SELECT uid, s, rules.* FROM padded JOIN rules ON contains(s, keyword)),
+parts AS (SELECT uid, rule, priority, score, label, regexp_extract_all(s, pattern) AS m, string_split_regex(s, pattern) AS g FROM pairs WHERE regexp_matches(s, pattern)),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM parts),
+spans AS (
+  SELECT uid, rule, priority, score, label, m[k] AS t,
+         coalesce(list_sum(list_transform(g[1:k], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: len(x))), 0) AS a,
+         coalesce(list_sum(list_transform(g[1:k], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:k], lambda x: len(x))), 0) AS b
+  FROM each
+),
+kept AS (
+  SELECT * FROM spans AS x WHERE NOT EXISTS (
+    SELECT 1 FROM spans AS y
+    WHERE y.uid = x.uid AND y.priority <= x.priority AND y.a <= x.a AND y.b >= x.b
+      AND (y.a < x.a OR y.b > x.b OR y.priority < x.priority OR y.rule < x.rule))
+),
+base AS (
+  SELECT uid, p - 1 AS p, CASE w[p] WHEN 'mit' THEN 'mit' WHEN 'apache' THEN 'apache' ELSE 'gpl' END AS label
+  FROM (SELECT uid, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+  WHERE (w[p] IN ('mit', 'apache') AND w[p + 1] = 'license') OR (w[p] = 'general' AND w[p + 1] = 'public' AND w[p + 2] = 'license')
+),
+b AS (SELECT uid, count(*) AS n, min(p) AS first, max(p) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY uid),
+l AS (SELECT uid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT uid, label FROM base UNION ALL SELECT uid, label FROM kept) GROUP BY uid),
+s AS (SELECT uid, max(score) AS score FROM (SELECT uid, CAST(score AS DOUBLE) AS score FROM kept UNION ALL SELECT uid, CAST({BASE_SCORE} AS DOUBLE) FROM base) GROUP BY uid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.first AS BIGINT) AS first_word, CAST(b.last AS BIGINT) AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(s.score, CAST(0 AS DOUBLE)) AS score
+FROM d LEFT JOIN b USING (uid) LEFT JOIN l USING (uid) LEFT JOIN s USING (uid)
+"""
+
+
+OP2_SQL = _op2_sql()

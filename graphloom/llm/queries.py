@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.decontaminate import OP3_SQL, op3_decontaminate
-from graphloom.llm.licenses import op2_licenses
+from graphloom.llm.licenses import OP2_SQL, op2_licenses
 from graphloom.llm.simhash import op9_simhash
 
 QUERIES = {
@@ -13,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_licenses": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
 }
