@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from graphloom.llm.decontaminate import OP3_SQL, op3_decontaminate
 from graphloom.llm.licenses import OP2_SQL, op2_licenses
+from graphloom.llm.packing import op6_packing
 from graphloom.llm.pii import op8_pii
 from graphloom.llm.simhash import op9_simhash
 
 QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
+    "op6_packing": op6_packing,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
 }
