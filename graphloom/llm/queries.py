@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphloom.llm.decontaminate import OP3_SQL, op3_decontaminate
 from graphloom.llm.licenses import OP2_SQL, op2_licenses
+from graphloom.llm.media import op7_media
 from graphloom.llm.packing import op6_packing
 from graphloom.llm.pii import op8_pii
 from graphloom.llm.simhash import op9_simhash
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
     "op6_packing": op6_packing,
+    "op7_media": op7_media,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
 }
