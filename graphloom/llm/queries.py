@@ -8,8 +8,10 @@ from graphloom.llm.media import op7_media
 from graphloom.llm.packing import op6_packing
 from graphloom.llm.pii import op8_pii
 from graphloom.llm.simhash import op9_simhash
+from graphloom.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
     "op6_packing": op6_packing,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op2_licenses": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
 }
