@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.decontaminate import OP3_SQL, op3_decontaminate
+from graphloom.llm.langid import op10_langid
 from graphloom.llm.licenses import OP2_SQL, op2_licenses
 from graphloom.llm.media import op7_media
 from graphloom.llm.packing import op6_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_media": op7_media,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {
