@@ -8,6 +8,7 @@ from graphloom.llm.licenses import OP2_SQL, op2_licenses
 from graphloom.llm.media import op7_media
 from graphloom.llm.packing import op6_packing
 from graphloom.llm.pii import op8_pii
+from graphloom.llm.quality import op4_quality
 from graphloom.llm.simhash import op9_simhash
 from graphloom.llm.warc import OP1_SQL, op1_warc
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
+    "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op7_media": op7_media,
     "op8_pii": op8_pii,
