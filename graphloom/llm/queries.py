@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.decontaminate import OP3_SQL, op3_decontaminate
+from graphloom.llm.html import op5_html
 from graphloom.llm.langid import op10_langid
 from graphloom.llm.licenses import OP2_SQL, op2_licenses
 from graphloom.llm.media import op7_media
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
+    "op5_html": op5_html,
     "op6_packing": op6_packing,
     "op7_media": op7_media,
     "op8_pii": op8_pii,
