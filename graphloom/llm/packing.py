@@ -17,6 +17,10 @@ each piece, never text or ids.
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,12 +35,26 @@ LENGTH = 2048
 END_ID = 0
 #: Pieces in a group on average.
 GROUP = 8000
-#: Words whose ids a worker keeps in each of two generations.
-CACHE = 200_000
+#: Chunks, and words, whose ids a worker keeps in each of two generations.
+CACHE = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_SPACES = str.maketrans("\n\t\r", "   ")
+_WHOLE_LATIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+
+
+class _Generations:
+    """A mapping of bounded size: what wasn't used since the last turn but one is dropped."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
 
 
 class CachedTokenizer:
@@ -44,51 +62,78 @@ class CachedTokenizer:
 
     No token spans a space, newline, tab or carriage return in a tokenizer that
     drops white space, so a text's ids are its chunks' ids in order.  Chunks
-    repeat; their ids are kept in two generations of bounded size.
+    repeat; their ids are kept.  If the tokenizer's own rules are those of the
+    49k-word vocabulary (lower case; letters, single digits, other signs), a
+    new chunk of ASCII and Latin letters is cut into words here, whose ids are
+    kept as well; any other chunk goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, tuple[int, ...]] = {"": ()}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        missing = []
-        for c in chunks:
-            if c not in self.new:
-                if (ids := self.old.get(c)) is not None:
-                    self.new[c] = ids
-                else:
-                    missing.append(c)
-        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.new[c] = tuple(e.ids)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit numbers, without an end id."""
-        for text in texts:
-            chunks = text.translate(_SPACES).split(" ")
-            self._learn(set(chunks))
-            yield np.fromiter((i for c in chunks for i in self.new[c]), dtype="<u4")
-            if len(self.new) > CACHE:
-                self.old, self.new = self.new, {"": ()}
+        self.chunks = _Generations(CACHE)
+        self.words = _Generations(CACHE)
+        rules = json.loads(self.tokenizer.to_str())
+        split = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+        self.plain = rules["normalizer"] == {"type": "Sequence", "normalizers": normal} and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, byte_level]} and not rules["post_processor"]
+        self.marks = [t["content"] for t in rules["added_tokens"]]
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the characters from U+0100
+        itself = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = iter(range(0x100, 0x200))
+        self.alphabet = {chr(b): chr(b if b in itself else next(other)) for b in range(256)}
+
+    def _word(self, word: str) -> bytes:
+        if (ids := self.words.old.get(word)) is None:
+            spelled = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode().decode("latin-1")))
+            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
+        self.words.new[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        if (ids := self.chunks.old.get(chunk)) is None:
+            if self.plain and _WHOLE_LATIN(chunk) and not any(m in chunk for m in self.marks):
+                known = self.words.new
+                ids = b"".join([known[w] if w in known else self._word(w) for w in _WORDS(chunk.lower())])
+            elif chunk:
+                ids = struct.pack(f"<{len(x := self.tokenizer.encode(chunk, add_special_tokens=False).ids)}I", *x)
+            else:
+                ids = b""
+        self.chunks.new[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit numbers, without an end id."""
+        for space in "\n\t\r":
+            if space in text:
+                text = text.replace(space, " ")
+        chunks, known = text.split(" "), self.chunks.new
+        try:
+            out = b"".join([known[c] for c in chunks])
+        except KeyError:
+            out = b"".join([known[c] if c in known else self._chunk(c) for c in chunks])
+            self.chunks.turn()
+            self.words.turn()
+        return out
 
 
 def _pieces(path: str, length: int, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    end = end_id.to_bytes(4, "little")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = CachedTokenizer(path)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
-            for doc, ids in zip(docs, tokenizer.encode([t or "" for t in texts]), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), length)):
-                    part = ids[at : at + length]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
+            for doc, text in zip(docs, texts, strict=True):
+                ids = (tokenizer.encode(text) if text else b"") + end
+                for k, at in enumerate(range(0, len(ids), 4 * length)):
+                    part = ids[at : at + 4 * length]
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
