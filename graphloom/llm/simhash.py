@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, small_batches
+from graphloom.llm.common import cut, small_batches, table
 from graphloom.llm.components import connected_components
 
 SEGMENT_BITS = 32
@@ -186,7 +186,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    from graphloom.llm.common import table
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest id; all columns as they are.
+
+    Rows of one id and one text are one document, and one of them stays.  Rows
+    without an id stay only if their component has no id at all.  The texts are
+    shuffled once, by id; nothing is collected.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
+    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
+    kept = rows.join(winners, F.col("id").eqNullSafe(F.col("winner")), "left_semi")
+    if repeated:
+        kept = kept.withColumn("text_hash", F.sha2(F.col(f"row.`{text_col}`").cast("binary"), 256)).dropDuplicates(["id", "text_hash"])
+    return kept.select("row.*")
 
+
+def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
