@@ -1 +1 @@
-
+"""Column functions: numeric, seeded randomness, integer partitions."""
