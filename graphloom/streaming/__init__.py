@@ -1 +1 @@
-
+"""Graphs that arrive as streams."""
