@@ -3,10 +3,11 @@
 A text is normalised to lower-case words joined by one space, so that a rule
 sees "CC BY-NC 4.0" as ``cc by nc 4 0`` whatever the punctuation and line
 breaks.  The rules are the product of hand-written name patterns and
-hand-written sentence templates; each has a keyword, and only rules whose
-keyword stands in the text are tried, after one cheap test for any keyword at
-all.  A detection is an interval of words.  One that lies inside an interval
-of a rule of the same or a better priority is suppressed.
+hand-written sentence templates.  Each has a keyword and the anchor words of
+its template; only rules whose keyword and anchors stand in the text are tried,
+after one cheap test for any keyword at all.  A detection is an interval of
+words.  One that lies inside an interval of a rule of the same or a better
+priority is suppressed.
 
 Style: DataFrame functions only; one pass, no shuffle.
 """
@@ -110,14 +111,17 @@ _GRANT = r"(?:licensed|licenced|released|distributed|available|published|provide
 _TERMS = r"(?: to you)? (?:under|by)(?: either)?(?: the)?(?: terms(?: and conditions)? of)?(?: an?| the)?"
 _LICENSE = r"(?: public| software| general| community)? licen[cs]es?"
 
-#: priority (1 is best), score, template; the last is used for names that say enough alone.
+#: Words, of which a text must hold one for the templates that name the group to match anywhere.
+ANCHORS = {"none": (), "spdx": (" spdx ",), "grant": (" under ", " by "), "license": (" licen",), "either": (" licen", " spdx ")}
+
+#: priority (1 is best), score, anchors, template; the last is used for names that say enough alone.
 TEMPLATES = (
-    (1, 1.0, r"spdx license identifier {name}"),
-    (2, 0.95, _GRANT + _TERMS + r" {name}" + f"(?:{_LICENSE})?" + r"(?: version [0-9](?: [0-9])?)?"),
-    (3, 0.9, r"(?:see|read|accompanying|subject to|terms of|copy of|accept)(?: the)? {name}" + _LICENSE),
-    (4, 0.8, r"{name}" + _LICENSE + r"(?: version [0-9](?: [0-9])?)?"),
-    (4, 0.75, r"(?:licen[cs]es?|licen[cs]ed|spdx) (?:is )?(?:the )?{name}"),
-    (5, 0.6, r"{name}"),
+    (1, 1.0, "spdx", r"spdx license identifier {name}"),
+    (2, 0.95, "grant", _GRANT + _TERMS + r" {name}" + f"(?:{_LICENSE})?" + r"(?: version [0-9](?: [0-9])?)?"),
+    (3, 0.9, "license", r"(?:see|read|accompanying|subject to|terms of|copy of|accept)(?: the)? {name}" + _LICENSE),
+    (4, 0.8, "license", r"{name}" + _LICENSE + r"(?: version [0-9](?: [0-9])?)?"),
+    (4, 0.75, "either", r"(?:licen[cs]es?|licen[cs]ed|spdx) (?:is )?(?:the )?{name}"),
+    (5, 0.6, "none", r"{name}"),
 )
 
 #: Score of a text in which only the base finds anything.
@@ -130,14 +134,15 @@ class Rule(NamedTuple):
     score: float
     label: str
     keyword: str
+    anchor: int
     pattern: str
 
 
 def rules() -> list[Rule]:
     """All rules in order: by priority, then as the names and templates are listed."""
     made = [
-        (priority, score, label, keyword, r"(?<![^ ])" + template.replace("{name}", f"(?:{name})") + r"(?![^ ])")
-        for priority, score, template in TEMPLATES
+        (priority, score, label, keyword, list(ANCHORS).index(anchor), r"(?<![^ ])" + template.replace("{name}", f"(?:{name})") + r"(?![^ ])")
+        for priority, score, anchor, template in TEMPLATES
         for label, keyword, name, alone in NAMES
         if alone or priority < 5
     ]
@@ -148,13 +153,22 @@ _FOUND = "array<struct<start:int,end:int,priority:int,rule:int,label:string,scor
 
 
 def _rule_table() -> Column:
-    return F.array(*[F.struct(F.lit(r.rule).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in rules()])
+    return F.array(*[F.struct(F.lit(r.rule).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.anchor).alias("anchor"), F.lit(r.pattern).alias("pattern")) for r in rules()])
 
 
 def _detections(spaced: Column) -> Column:
     """All rules' matches in ``spaced``, by start, longest first, then by priority and rule."""
     padded = F.concat(F.lit(" "), spaced, F.lit(" "))
-    tried = F.filter(_rule_table(), lambda r: F.contains(padded, F.concat(F.lit(" "), r["keyword"])))
+    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules()})])
+
+    def some(words: tuple[str, ...]) -> Column:
+        out = F.lit(not words)
+        for w in words:
+            out = out | F.contains(padded, F.lit(w))
+        return out
+
+    gates = F.struct(F.filter(keywords, lambda k: F.contains(padded, F.concat(F.lit(" "), k))).alias("keywords"), F.array(*map(some, ANCHORS.values())).alias("anchors"))
+    tried = let(gates, lambda g: F.filter(_rule_table(), lambda r: F.get(g["anchors"], r["anchor"]) & F.array_contains(g["keywords"], r["keyword"])))
     found = F.transform(
         tried,
         lambda r: F.transform(
@@ -174,7 +188,7 @@ def _unsuppressed(found: Column) -> Column:
     In the order of ``_detections`` whatever contains a detection stands before
     it, so the furthest end for each priority so far is all there is to know.
     """
-    levels = sorted({p for p, _, _ in TEMPLATES})
+    levels = sorted({t[0] for t in TEMPLATES})
 
     def step(state: Column, d: Column) -> Column:
         inside = F.lit(False)
@@ -188,8 +202,12 @@ def _unsuppressed(found: Column) -> Column:
 
 
 def _any_keyword(spaced: Column) -> Column:
-    words = "|".join(sorted({r.keyword for r in rules()}))
-    return spaced.rlike(rf"(?<![^ ])(?:{words})")
+    """One regex for all keywords, by first letter, so that most words are passed over after one."""
+    by_letter: dict[str, list[str]] = {}
+    for word in sorted({r.keyword for r in rules()}):
+        by_letter.setdefault(word[0], []).append(word[1:])
+    words = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+    return spaced.rlike(rf"(?:^| )(?=[{''.join(by_letter)}])(?:{words})")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
