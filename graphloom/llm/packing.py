@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,12 +121,18 @@ class CachedTokenizer:
         return out
 
 
+@cache
+def _tokenizer(path: str) -> CachedTokenizer:
+    """One for each worker process, so that what it has learned outlives a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return CachedTokenizer(path)
+
+
 def _pieces(path: str, length: int, end_id: int):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = CachedTokenizer(path)
+        tokenizer = _tokenizer(path)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
