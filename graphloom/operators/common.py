@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; a folder of this process where ``spark.checkpoint.dir`` is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the checkpoint folder that all executors share and cut its lineage."""
+    """Write ``frame`` to the shared folder and read it back, so that later plans start from the written table.
+
+    A checkpoint would do, but it hands the optimizer's constraints on, which
+    grow with every round of a loop.
+    """
     spark = frame.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return frame.checkpoint()
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def numbered(frame: DataFrame, *order, name: str = "n") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.randomness import uniform
 from graphloom.operators import blockmodel as bm
 from graphloom.operators import entropy
+from graphloom.operators.common import cut, numbered
 from graphloom.operators.proposal import propose_moves
 
 
@@ -23,29 +24,29 @@ def guarded(moves: DataFrame, block_table: DataFrame) -> DataFrame:
     return moves.join(stays, "v", "left_anti")
 
 
-def gibbs_moves(edges: DataFrame, assignment: DataFrame, num_blocks: int, seed: int, greedy: bool = True, batch: tuple[int, int] = (0, 1)) -> DataFrame:
+def gibbs_moves(edges: DataFrame, assignment: DataFrame, num_blocks: int, seed: int, greedy: bool = True, batch: tuple[int, int] = (0, 1), matrix: DataFrame | None = None) -> DataFrame:
     """``v, b_from, b_to, de`` of the accepted moves of one sweep against the model as it is.
 
     ``batch`` (k, n) takes the vertices whose hash falls in the k-th of n
-    parts, for sweeps that renew the model between parts.
+    parts, for sweeps that renew the model between parts.  ``matrix`` is the
+    labels' block matrix, if the caller has it.
     """
-    matrix = bm.block_matrix(edges, assignment)
-    table = bm.blocks(matrix, assignment)
+    matrix = cut(bm.block_matrix(edges, assignment)) if matrix is None else matrix
+    table = cut(bm.blocks(matrix, assignment))
     proposed = propose_moves(edges, assignment, matrix, num_blocks, seed).where("b_from <> b_to").select("v", "b_to")
     if batch[1] > 1:
         proposed = proposed.where(F.pmod(F.xxhash64("v"), F.lit(batch[1])) == batch[0])
+    proposed = cut(proposed)
     scored = entropy.move_delta(edges, assignment, matrix, table, proposed)
     if not greedy:
         ratios = entropy.hastings(edges, assignment, matrix, table, proposed, num_blocks)
         scored = scored.join(ratios, ["v", "b_to"])
     kept = scored.where(entropy.accepted(F.round("de", 9), F.lit(1.0) if greedy else F.col("hastings"), uniform(seed + 3, F.col("v")), greedy))
-    return guarded(kept.select("v", "b_from", "b_to", F.round("de", 9).alias("de")), table)
+    return guarded(cut(kept.select("v", "b_from", "b_to", F.round("de", 9).alias("de"))), table)
 
 
 def snake_buckets(frame: DataFrame, score: str, key: str, buckets: int) -> DataFrame:
     """``key, score, bucket``: rows dealt in turn, forth and back, from the largest ``score`` down, ties by ``key``."""
-    from graphloom.operators.common import numbered
-
     ranked = numbered(frame.select(key, score), F.desc(score), F.col(key), name="_rank")
     place = F.pmod(F.col("_rank"), F.lit(2 * buckets))
     return ranked.select(key, score, F.when(place < buckets, place).otherwise(2 * buckets - 1 - place).cast("long").alias("bucket"))

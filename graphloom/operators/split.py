@@ -70,8 +70,12 @@ def best_splits(scores: DataFrame) -> DataFrame:
 
 
 def apply_splits(assignment: DataFrame, sides: DataFrame, best: DataFrame, num_blocks: int, wanted: int) -> DataFrame:
-    """Labels after the ``wanted`` best splits that save anything; side 1 of each gets a new block."""
-    picked = best.where("de < 0").orderBy("de", "b").limit(wanted)
+    """Labels after the ``wanted`` best splits; side 1 of each gets a new block.
+
+    A random split seldom saves anything as it is; the sweeps that follow move
+    the vertices to the sides they belong to, so a positive ``de`` counts too.
+    """
+    picked = best.orderBy("de", "b").limit(wanted)
     fresh = picked.select("b", "trial", (F.row_number().over(Window.orderBy("de", "b")) - 1 + num_blocks).cast("long").alias("new"))
     moved = sides.where("side = 1").join(F.broadcast(fresh), ["b", "trial"]).select("v", F.col("new").alias("b_to"))
     return bm.moved(assignment, moved)

@@ -53,6 +53,7 @@ class Config:
     sweeps: int = 100
     seed: int = 1
     local_edges: int = 500_000
+    local_cells: int = 500_000
     trials: int = 10
 
     def __post_init__(self) -> None:
@@ -134,14 +135,26 @@ def fit_local(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bra
 # plans
 
 
-def length_of(edges: DataFrame, labels: DataFrame, vertices: int, num_blocks: int) -> float:
-    return float(entropy.mdl(bm.block_matrix(edges, labels), vertices, num_blocks).first().mdl)
+def length_of(matrix: DataFrame, vertices: int, num_blocks: int) -> float:
+    return float(entropy.mdl(matrix, vertices, num_blocks).first().mdl)
 
 
 def merge_phase(edges: DataFrame, labels: DataFrame, num_blocks: int, target: int, config: Config, seed: int) -> tuple[DataFrame, int]:
-    """Merge steps until at most ``target`` blocks are left; each applies the best half of what is wanted at most."""
+    """Merge until at most ``target`` blocks are left.
+
+    A block matrix of at most ``local_cells`` cells is merged by the kernel,
+    each merge scored anew when its turn comes.  A larger one, or any with
+    ``approximate_merges``, is merged by plans in steps, on the scores of the
+    step's start.
+    """
     while num_blocks > target:
         matrix = cut(bm.block_matrix(edges, labels))
+        if not config.approximate_merges and num_blocks <= config.local_cells and matrix.limit(config.local_cells + 1).count() <= config.local_cells:
+            cells = sorted((r.r, r.c, r.w) for r in matrix.collect())
+            blocks = Model(cells, num_blocks, list(range(num_blocks)))
+            blocks.shrink(target, random.Random(seed), config.proposals)
+            into = labels.sparkSession.createDataFrame(list(enumerate(blocks.labels)), "b long, into long")
+            return cut(labels.join(F.broadcast(into), "b").select("v", F.col("into").alias("b"))), blocks.blocks
         ids = labels.select("b").distinct()
         candidates = propose_merges(matrix, ids, num_blocks, config.proposals, seed)
         applied = cut(merge.merge_step(matrix, candidates, num_blocks - target))
@@ -153,22 +166,27 @@ def merge_phase(edges: DataFrame, labels: DataFrame, num_blocks: int, target: in
     return labels, num_blocks
 
 
-def vertex_phase(edges: DataFrame, labels: DataFrame, vertices: int, num_blocks: int, config: Config, seed: int, initial: float, bracketed: bool) -> tuple[DataFrame, int, int]:
-    """Gibbs sweeps against the model of the last batch, until the description length stalls."""
+def vertex_phase(edges: DataFrame, labels: DataFrame, vertices: int, num_blocks: int, config: Config, seed: int, initial: float, bracketed: bool) -> tuple[DataFrame, float, int, int]:
+    """Gibbs sweeps against the model of the last batch, until the description length stalls: labels, length, sweeps, moves."""
     changes: list[float] = []
-    moved = 0
-    before = length_of(edges, labels, vertices, num_blocks)
+    total = 0
+    matrix = cut(bm.block_matrix(edges, labels))
+    before = length_of(matrix, vertices, num_blocks)
     for sweep in range(config.sweeps):
+        moved = 0
         for batch in range(config.batches):
-            moves = cut(mcmc.gibbs_moves(edges, labels, num_blocks, seed + 31 * sweep + batch, config.greedy, (batch, config.batches)))
-            moved += moves.count()
-            labels = cut(bm.moved(labels, moves))
-        after = length_of(edges, labels, vertices, num_blocks)
+            moves = cut(mcmc.gibbs_moves(edges, labels, num_blocks, seed + 31 * sweep + batch, config.greedy, (batch, config.batches), matrix))
+            if count := moves.count():
+                labels = cut(bm.moved(labels, moves))
+                matrix = cut(bm.block_matrix(edges, labels))
+            moved += count
+        after = length_of(matrix, vertices, num_blocks) if moved else before
+        total += moved
         changes.append(after - before)
         before = after
         if mcmc.early_stop(changes, initial, bracketed):
             break
-    return labels, len(changes), moved
+    return labels, before, len(changes), total
 
 
 def fit_plans(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bracket: bool = False) -> Fit:
@@ -177,7 +195,7 @@ def fit_plans(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bra
     local = cut(graph.relabelled(edges, mapping))
     number = mapping.count()
     labels = cut(mapping.select(F.col("local_v").alias("v"), F.col("local_v").alias("b")))
-    initial = length_of(local, labels, number, number)
+    initial = length_of(local.toDF("r", "c", "w"), number, number)
     search, profile = MergeSearch(), []
     point = Point(number, initial, labels)
     iteration = 0
@@ -190,9 +208,9 @@ def fit_plans(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bra
         began = time.perf_counter()
         labels, blocks = merge_phase(local, step.start.model, step.start.blocks, max(1, step.target), config, seed)
         merged = time.perf_counter()
-        labels, sweeps, moves = vertex_phase(local, labels, number, blocks, config, seed, initial, search.bracketed)
+        labels, mdl, sweeps, moves = vertex_phase(local, labels, number, blocks, config, seed, initial, search.bracketed)
         iteration += 1
-        point = Point(blocks, length_of(local, labels, number, blocks), labels)
+        point = Point(blocks, mdl, labels)
         profile.append({"iteration": iteration, "num_blocks": blocks, "mdl": point.mdl, "block_merge_time": merged - began, "mcmc_time": time.perf_counter() - merged, "mcmc_iterations": sweeps, "mcmc_moves": moves})
     named = combine.global_labels(best.model.withColumnRenamed("v", "local_v"), mapping)
     return Fit(named, best.blocks, best.mdl, profile)
@@ -208,7 +226,7 @@ def fit_top_down(edges: DataFrame, vertices: DataFrame, config: Config) -> Fit:
     """The divisive search: split, sweep, bracket.  All phases are plans."""
     labels = cut(vertices.select("v", F.lit(0).cast("long").alias("b")))
     number = vertices.count()
-    initial = length_of(edges, labels, number, 1)
+    initial = length_of(bm.block_matrix(edges, labels), number, 1)
     search, profile = SplitSearch(number), []
     point = Point(1, initial, labels)
     iteration = 0
@@ -227,9 +245,9 @@ def fit_top_down(edges: DataFrame, vertices: DataFrame, config: Config) -> Fit:
         now = labels.agg(F.max("b")).first()[0] + 1
         if now == blocks:
             break
-        labels, sweeps, moves = vertex_phase(edges, labels, number, now, config, seed, initial, search.bracketed)
+        labels, mdl, sweeps, moves = vertex_phase(edges, labels, number, now, config, seed, initial, search.bracketed)
         iteration += 1
-        point = Point(now, length_of(edges, labels, number, now), labels)
+        point = Point(now, mdl, labels)
         profile.append({"iteration": iteration, "num_blocks": now, "mdl": point.mdl, "mcmc_iterations": sweeps, "mcmc_moves": moves})
     best = search.points[1]
     return Fit(best.model, best.blocks, best.mdl, profile)
@@ -262,7 +280,7 @@ def fit(edges: DataFrame, config: Config = Config(), vertices: DataFrame | None
     if config.detach:
         labels = cut(sampling.reattach(whole, every, labels, found.num_blocks, config.seed))
     if labels is not found.assignment:
-        found = replace(found, assignment=labels, mdl=length_of(whole, labels, every.count(), found.num_blocks))
+        found = replace(found, assignment=labels, mdl=length_of(bm.block_matrix(whole, labels), every.count(), found.num_blocks))
     return found
 
 
@@ -285,13 +303,13 @@ def divide_and_conquer(edges: DataFrame, parts: int, config: Config = Config())
     labels = cut(bm.compact(combine.concatenated(cut(labelled))))
     number, blocks = every.count(), labels.agg(F.max("b")).first()[0] + 1
     search = MergeSearch()
-    labels, _, _ = vertex_phase(whole, labels, number, blocks, config, config.seed, length_of(whole, labels, number, blocks), False)
-    point, iteration = Point(blocks, length_of(whole, labels, number, blocks), labels), 0
-    initial = point.mdl
+    initial = length_of(bm.block_matrix(whole, labels), number, blocks)
+    labels, mdl, _, _ = vertex_phase(whole, labels, number, blocks, config, config.seed, initial, False)
+    point, iteration = Point(blocks, mdl, labels), 0
     while not (step := search.next(point)).done:
         iteration += 1
         labels, blocks = merge_phase(whole, step.start.model, step.start.blocks, max(1, step.target), config, config.seed + iteration)
-        labels, _, _ = vertex_phase(whole, labels, number, blocks, config, config.seed + iteration, initial, search.bracketed)
-        point = Point(blocks, length_of(whole, labels, number, blocks), labels)
+        labels, mdl, _, _ = vertex_phase(whole, labels, number, blocks, config, config.seed + iteration, initial, search.bracketed)
+        point = Point(blocks, mdl, labels)
     best = search.points[1]
     return Fit(best.model, best.blocks, best.mdl, [])

@@ -35,6 +35,7 @@ class MergeSearch:
 
     rate: float = 0.5
     points: list[Point | None] = field(default_factory=lambda: [None, None, None])
+    tried: set[int] = field(default_factory=set)
 
     @property
     def bracketed(self) -> bool:
@@ -55,7 +56,7 @@ class MergeSearch:
         more, best, fewer = self.points
         if not self.bracketed:
             target = best.blocks - math.floor(best.blocks * self.rate)
-            return Step(best, target, target == best.blocks)
+            return self._towards(best, target, target == best.blocks)
         upper = more.blocks - best.blocks if more else 0
         lower = best.blocks - fewer.blocks
         if (more and more.blocks - fewer.blocks <= 2) or (not more and lower <= 1):
@@ -66,7 +67,15 @@ class MergeSearch:
             if high.blocks - low.blocks <= 1:
                 return Step(best, best.blocks, True)
             target = low.blocks + 1
-        return Step(high, target, False)
+        return self._towards(high, target)
+
+    def _towards(self, start: Point, target: int, done: bool = False) -> Step:
+        """Each target is tried once, so that a search whose steps miss their targets ends too."""
+        best = self.points[1]
+        if done or target in self.tried:
+            return Step(best, best.blocks, True)
+        self.tried.add(target)
+        return Step(start, target, False)
 
 
 @dataclass
@@ -80,6 +89,7 @@ class SplitSearch:
     vertices: int
     growth: float = 1.5
     points: list[Point | None] = field(default_factory=lambda: [None, None, None])
+    tried: set[int] = field(default_factory=set)
 
     @property
     def bracketed(self) -> bool:
@@ -100,12 +110,12 @@ class SplitSearch:
         fewer, best, more = self.points
         if not self.bracketed:
             target = math.ceil(best.blocks * self.growth) if best.blocks > 1 else 2
-            return Step(best, target, target >= self.vertices or target == best.blocks)
+            return self._towards(best, target, target >= self.vertices or target == best.blocks)
         upper, lower = more.blocks - best.blocks, best.blocks - fewer.blocks if fewer else 0
         if (fewer and more.blocks - fewer.blocks <= 2) or (not fewer and upper <= 1):
             return Step(best, best.blocks, True)
         low, high = (best, more) if upper >= lower else (fewer, best)
         target = low.blocks + max(1, int((high.blocks - low.blocks) * (1 - GOLDEN)))
-        if target >= high.blocks:
-            return Step(best, best.blocks, True)
-        return Step(low, target, False)
+        return self._towards(low, target, target >= high.blocks)
+
+    _towards = MergeSearch._towards

@@ -118,7 +118,7 @@ def result_row(fit, config, runtime: float, edges: int, vertices: int, scores: d
 
 
 def append_json(spark: SparkSession, row: dict, path: str) -> None:
-    spark.createDataFrame([row]).write.mode("append").json(path)
+    spark.createDataFrame([row]).coalesce(1).write.mode("append").json(path)
 
 
 def append_profile(spark: SparkSession, profile: list[dict], path: str) -> None:
