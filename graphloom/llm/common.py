@@ -41,9 +41,14 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared checkpoint folder and cut its lineage."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint()
+    """Write ``frame`` to the shared folder and read it back, so that later plans start from the written table.
+
+    Unlike a checkpoint, the table doesn't hand on the optimizer's constraints,
+    which grow with every round of a loop.
+    """
+    path = scratch(frame.sparkSession, "cut")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

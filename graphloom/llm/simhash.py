@@ -87,7 +87,7 @@ def _probes(fp: Column, table: int) -> Column:
 
 def _spanning(group: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Edges of a spanning forest of the links (at most ``radius`` bits apart) among distinct ``group``."""
-    rest = np.unique(group)
+    rest = np.unique(group).view(np.uint64)  # counting bits takes a signed number's absolute value
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
@@ -97,8 +97,8 @@ def _spanning(group: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
                 found = rest[near]
                 rest = rest[~near]
                 frontier.extend(found)
-                for other in found:
-                    yield int(node), int(other)
+                for other in found.view(np.int64).tolist():
+                    yield int(node.view(np.int64)), other
 
 
 class _Forest:
@@ -190,7 +190,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each component, that with the smallest id; all columns as they are.
 
     Rows of one id and one text are one document, and one of them stays.  Rows
-    without an id stay only if their component has no id at all.  The texts are
+    without an id can't be told apart by it: all of them with distinct texts
+    stay if one's component has no id at all, else all go.  The texts are
     shuffled once, by id; nothing is collected.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
