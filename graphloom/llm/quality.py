@@ -101,6 +101,7 @@ def _gradients(net: Network, batch: Batch, slope: np.ndarray, passed: tuple) ->
     responses, half, left, hidden, mean, most, _ = passed
     doc = np.repeat(np.arange(len(batch.chunks)), batch.chunks)
     at_most = hidden == most[doc]
+    at_most = at_most / np.add.reduceat(at_most, batch.starts, axis=0, dtype=np.float64)[doc]
     down = slope[doc][:, None] * (net.mean / batch.chunks[doc][:, None] + at_most * net.most) * (hidden > 0)
     to_half = np.zeros_like(half, dtype=np.float64)
     np.add.at(to_half, batch.first, down * left)
