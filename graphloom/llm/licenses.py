@@ -139,9 +139,12 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """All rules in order: by priority, then as the names and templates are listed."""
+    """All rules in order: by priority, then as the names and templates are listed.
+
+    A name that states a version ranks with sentences, so that it stands against the name in them without.
+    """
     made = [
-        (priority, score, label, keyword, list(ANCHORS).index(anchor), r"(?<![^ ])" + template.replace("{name}", f"(?:{name})") + r"(?![^ ])")
+        (min(priority, 4) if label[-1].isdigit() else priority, score, label, keyword, list(ANCHORS).index(anchor), r"(?<![^ ])" + template.replace("{name}", f"(?:{name})") + r"(?![^ ])")
         for priority, score, anchor, template in TEMPLATES
         for label, keyword, name, alone in NAMES
         if alone or priority < 5
