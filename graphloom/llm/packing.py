@@ -96,8 +96,14 @@ class CachedTokenizer:
 
     def _chunk(self, chunk: str) -> bytes:
         if (ids := self.chunks.old.get(chunk)) is None:
-            if self.plain and _WHOLE_LATIN(chunk) and not any(m in chunk for m in self.marks):
-                known = self.words.new
+            known = self.words.new
+            body, end = (chunk, "") if chunk.isalpha() else (chunk[:-1], chunk[-1:])
+            if self.plain and body.isalpha() and max(body) <= "\u00ff" and (not end or end in ".,;:!?"):
+                word = body.lower()  # the common case: a word, perhaps with one sign after it
+                ids = known[word] if word in known else self._word(word)
+                if end:
+                    ids += known[end] if end in known else self._word(end)
+            elif self.plain and _WHOLE_LATIN(chunk) and not any(m in chunk for m in self.marks):
                 ids = b"".join([known[w] if w in known else self._word(w) for w in _WORDS(chunk.lower())])
             elif chunk:
                 ids = struct.pack(f"<{len(x := self.tokenizer.encode(chunk, add_special_tokens=False).ids)}I", *x)
