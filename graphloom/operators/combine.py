@@ -40,3 +40,29 @@ def two_hop(matrix: DataFrame, owned: DataFrame) -> DataFrame:
 def radius_matrix(matrix: DataFrame, inside: DataFrame) -> DataFrame:
     """Cells whose row and column are both inside."""
     return matrix.join(inside.select(F.col("b").alias("r")), "r", "left_semi").join(inside.select(F.col("b").alias("c")), "c", "left_semi").select("r", "c", "w")
+
+
+def distributed_blocks(block_table: DataFrame, parts: int, mode: str = "none") -> DataFrame:
+    """``b, part``: the blocks dealt to ``parts`` owners, by id (``none``), or forth and back by size or degree."""
+    from graphloom.operators.mcmc import snake_buckets
+
+    if mode == "none":
+        return block_table.select("b", F.pmod(F.col("b"), F.lit(parts)).cast("long").alias("part"))
+    if mode not in ("size", "degree"):
+        raise ValueError(f"no way {mode!r} to deal blocks")
+    score = "size" if mode == "size" else "d"
+    return snake_buckets(block_table, score, "b", parts).select("b", F.col("bucket").alias("part"))
+
+
+def distributed_vertices(edges: DataFrame, assignment: DataFrame, block_table: DataFrame, parts: int, mode: str = "degree") -> DataFrame:
+    """``v, part``: the vertices dealt forth and back by their degree, or by their block's."""
+    from graphloom.operators.graph import degrees
+    from graphloom.operators.mcmc import snake_buckets
+
+    if mode == "degree":
+        scored = assignment.select("v").join(degrees(edges).select("v", F.col("k").alias("score")), "v", "left").na.fill(0)
+    elif mode == "block_degree":
+        scored = assignment.join(block_table.select("b", F.col("d").alias("score")), "b").select("v", "score")
+    else:
+        raise ValueError(f"no way {mode!r} to deal vertices")
+    return snake_buckets(scored, "score", "v", parts).select("v", F.col("bucket").alias("part"))

@@ -66,3 +66,49 @@ def mdl(matrix: DataFrame, block_table: DataFrame, edges: DataFrame | None = Non
     joined = parts.crossJoin(F.broadcast(deg)).crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(number))
     last = edges_dl(F.col("b"), F.col("e"), undirected)
     return joined.select("sparse_entropy", "partition_dl", "degree_dl", last.alias("edges_dl"), (F.col("sparse_entropy") + F.col("partition_dl") + F.col("degree_dl") + last).alias("mdl"))
+
+
+def _counts(block_table: DataFrame) -> DataFrame:
+    """One row: vertices ``n``, blocks with vertices ``nb``, edges ``e``."""
+    return block_table.where("size > 0").agg(F.sum("size").cast("double").alias("n"), F.count("*").cast("double").alias("nb"), F.sum("d_out").cast("double").alias("e"))
+
+
+def _fewer_blocks(n: Column, nb: Column, e: Column) -> Column:
+    """What the terms that depend on the number of blocks change by when there is one less."""
+    return lbinom(n - 1, nb - 2) - lbinom(n - 1, nb - 1) + edges_dl(nb - 1, e) - edges_dl(nb, e)
+
+
+def move_delta(edges: DataFrame, assignment: DataFrame, matrix: DataFrame, block_table: DataFrame, moves: DataFrame) -> DataFrame:
+    """``v, b_from, b_to, de``: the change of the length without degree correction for each of ``moves(v, b_to)``.
+
+    A vertex that is alone leaves one block less.
+    """
+    from graphloom.operators.entropy import _ends, move_cells
+
+    cells = move_cells(edges, assignment, moves).join(matrix, ["r", "c"], "left").select("v", "b_to", "dw", F.coalesce("w", F.lit(0)).alias("w"))
+    by_cell = cells.groupBy("v", "b_to").agg(F.sum(lfactorial(F.col("w")) - lfactorial(F.col("w") + F.col("dw"))).alias("cells"))
+    labelled = moves.select("v", "b_to").join(assignment.select("v", F.col("b").alias("b_from")), "v").where("b_from <> b_to")
+    d = block_table.select("b", "d_out", "d_in", "size")
+    joined = labelled.join(by_cell, ["v", "b_to"], "left").join(_ends(edges), "v", "left").join(d.toDF("b_from", "o1", "i1", "s1"), "b_from").join(d.toDF("b_to", "o2", "i2", "s2"), "b_to").crossJoin(F.broadcast(_counts(block_table)))
+    ko, ki = F.coalesce("k_out", F.lit(0)), F.coalesce("k_in", F.lit(0))
+    ends = (
+        block_term(F.col("o1") - ko, F.col("i1") - ki, F.col("s1") - 1) - block_term(F.col("o1"), F.col("i1"), F.col("s1"))
+        + block_term(F.col("o2") + ko, F.col("i2") + ki, F.col("s2") + 1) - block_term(F.col("o2"), F.col("i2"), F.col("s2"))
+    )
+    sizes = F.ln(F.col("s1").cast("double")) - F.ln(F.col("s2") + 1.0)
+    gone = F.when(F.col("s1") == 1, _fewer_blocks(F.col("n"), F.col("nb"), F.col("e"))).otherwise(0.0)
+    return joined.select("v", "b_from", "b_to", (F.coalesce("cells", F.lit(0.0)) + ends + sizes + gone).alias("de"))
+
+
+def merge_delta(matrix: DataFrame, block_table: DataFrame, merges: DataFrame) -> DataFrame:
+    """``block, into, de``: the change of the length without degree correction for each of ``merges(block, into)``."""
+    from graphloom.operators.entropy import merge_cells
+
+    cells = merge_cells(matrix, merges)
+    new = cells.groupBy("block", "into", "nr", "nc").agg(F.sum("w").alias("w"), F.sum(lfactorial(F.col("w"))).alias("old"))
+    change = new.groupBy("block", "into").agg(F.sum(F.col("old") - lfactorial(F.col("w"))).alias("cells"))
+    d = block_table.select("b", "d_out", "d_in", "size")
+    joined = merges.select("block", "into").join(change, ["block", "into"], "left").join(d.toDF("block", "o1", "i1", "s1"), "block").join(d.toDF("into", "o2", "i2", "s2"), "into").crossJoin(F.broadcast(_counts(block_table)))
+    ends = block_term(F.col("o1") + F.col("o2"), F.col("i1") + F.col("i2"), F.col("s1") + F.col("s2")) - block_term(F.col("o1"), F.col("i1"), F.col("s1")) - block_term(F.col("o2"), F.col("i2"), F.col("s2"))
+    sizes = lfactorial(F.col("s1")) + lfactorial(F.col("s2")) - lfactorial(F.col("s1") + F.col("s2"))
+    return joined.select("block", "into", (F.coalesce("cells", F.lit(0.0)) + ends + sizes + _fewer_blocks(F.col("n"), F.col("nb"), F.col("e"))).alias("de"))

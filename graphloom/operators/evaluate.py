@@ -107,3 +107,15 @@ def accuracy(table: DataFrame) -> float:
     for r in rows:
         gain[bs[r.b], ts[r.t]] = r.n
     return sum(gain[k, c] for k, c in enumerate(best_matching(gain)) if c >= 0) / size.n
+
+
+def scores(edges: DataFrame, assignment: DataFrame, truth: DataFrame, vertices: int) -> DataFrame:
+    """One row: the pairwise scores, ``nmi`` and the description length ``true_mdl`` of the truth as labels."""
+    from graphloom.operators.blockmodel import block_matrix
+    from graphloom.operators.common import cut
+    from graphloom.operators.entropy import mdl
+
+    table = cut(contingency(assignment, truth))
+    labels = truth.where("t is not null and t >= 0").select("v", F.col("t").alias("b"))
+    length = mdl(block_matrix(edges, labels), vertices, labels.select("b").distinct().count()).select(F.col("mdl").alias("true_mdl"))
+    return pairwise(table, vertices).crossJoin(F.broadcast(nmi(table))).crossJoin(F.broadcast(length))

@@ -54,6 +54,27 @@ def expansion(edges: DataFrame, n: int, seeds: DataFrame) -> DataFrame:
     return sample
 
 
+def degree_product_snowball(edges: DataFrame, n: int, seeds: DataFrame) -> DataFrame:
+    """``v``: a snowball from ``seeds(v)`` that follows the edges of the largest degree products out of the sample.
+
+    As in ``expansion``, a wave is at most as large as the sample, and a new
+    snowball starts at the largest vertex outside when nothing is adjacent.
+    """
+    out = graph.degree_products(edges).where("src <> dst")
+    both = cut(out.select("src", "dst", "product").unionAll(out.select("dst", "src", "product")).toDF("v", "nb", "product"))
+    deg = cut(graph.degrees(edges).select("v", "k"))
+    sample = cut(seeds.select("v").distinct())
+    while (size := sample.count()) < n:
+        frontier = both.join(sample, "v", "left_semi").groupBy(F.col("nb").alias("v")).agg(F.max("product").alias("product")).join(sample, "v", "left_anti")
+        wave = cut(frontier.orderBy(F.desc("product"), "v").limit(min(n - size, max(1, size))).select("v"))
+        if wave.isEmpty():
+            wave = deg.join(sample, "v", "left_anti").orderBy(F.desc("k"), "v").limit(1).select("v")
+            if wave.isEmpty():
+                break
+        sample = cut(sample.unionByName(wave))
+    return sample
+
+
 def snowballs(edges: DataFrame, parts: int, rounds: int = 1000) -> DataFrame:
     """``v, part``: a disjoint cover, grown in waves from the ``parts`` largest vertices.
 

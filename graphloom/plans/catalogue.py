@@ -234,8 +234,26 @@ def np_degree_corrected_mdl(spark: SparkSession, sf: str) -> DataFrame:
     return one.select(*[F.round(c, 3).alias(c) for c in one.columns])
 
 
-_MERGE_SQL = f"""pr AS (SELECT x.b AS block, y.b AS into_ FROM k x, k y WHERE x.b <> y.b),
-cl AS (SELECT block, into_, CASE WHEN r = block THEN into_ ELSE r END AS nr, CASE WHEN c = block THEN into_ ELSE c END AS nc, w FROM pr JOIN m ON r IN (block, into_) OR c IN (block, into_)),
+_PAIRS = """pr AS (SELECT x.b AS block, y.b AS into_ FROM k x, k y WHERE x.b <> y.b),
+cl AS (SELECT block, into_, CASE WHEN r = block THEN into_ ELSE r END AS nr, CASE WHEN c = block THEN into_ ELSE c END AS nc, w FROM pr JOIN m ON r IN (block, into_) OR c IN (block, into_))"""
+_LB = lambda n, k: f"(CASE WHEN {n} = 0 OR {k} = 0 OR {k} > {n} THEN 0 ELSE lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) END)"
+_FEWER = f"""nn AS (SELECT CAST(sum(size) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS nb, CAST(sum(d_out) AS DOUBLE) AS e FROM k),
+fw AS (SELECT {_LB('(n - 1)', '(nb - 2)')} - {_LB('(n - 1)', '(nb - 1)')} + {_LB('((nb - 1) * (nb - 1) + e - 1)', 'e')} - {_LB('(nb * nb + e - 1)', 'e')} AS x FROM nn)"""
+
+
+@query(f"""WITH {_TRADE}, {_MODEL}, {_PAIRS}, {_FEWER},
+nw AS (SELECT block, into_, nr, nc, sum(w) AS w, sum(lgamma(w + 1)) AS old FROM cl GROUP BY block, into_, nr, nc),
+dc AS (SELECT block, into_, sum(old - lgamma(w + 1)) AS cells FROM nw GROUP BY block, into_)
+SELECT block, into_ AS "into", round(cells + (x.d_out + y.d_out + x.d_in + y.d_in) * ln(x.size + y.size) - (x.d_out + x.d_in) * ln(x.size) - (y.d_out + y.d_in) * ln(y.size)
+  + lgamma(x.size + 1) + lgamma(y.size + 1) - lgamma(x.size + y.size + 1) + fw.x, 3) AS de FROM dc JOIN k x ON x.b = block JOIN k y ON y.b = into_, fw""")
+def np_merge_delta_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    _, labels, matrix = _trade_model(spark, sf)
+    matrix = cut(matrix)
+    found = description.merge_delta(matrix, bm.blocks(matrix, labels), merge.all_pairs(labels))
+    return found.select("block", "into", F.round("de", 3).alias("de"))
+
+
+_MERGE_SQL = f"""{_PAIRS},
 nw AS (SELECT block, into_, nr, nc, sum(w) AS w, sum({_F('w')}) AS old FROM cl GROUP BY block, into_, nr, nc),
 dc AS (SELECT block, into_, sum({_F('w')} - old) AS cells FROM nw GROUP BY block, into_),
 md AS (SELECT dc.block, dc.into_, round({_F('x.d_out + y.d_out')} - {_F('x.d_out')} - {_F('y.d_out')} + {_F('x.d_in + y.d_in')} - {_F('x.d_in')} - {_F('y.d_in')} - cells, 4) AS de
@@ -300,6 +318,19 @@ def vertex_move_delta_mdl(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("v", "b_from", "b_to", F.round("de", 4).alias("de"))
 
 
+@query(f"""WITH {_NATION}, {_MODEL}, {_MOVES}, {_MOVE_CELLS}, {_FEWER},
+dg AS (SELECT mv.*, coalesce((SELECT sum(w) FROM e WHERE src = mv.v), 0) + coalesce((SELECT sum(w) FROM e WHERE dst = mv.v), 0) AS kk FROM mv WHERE b_from <> b_to),
+cs AS (SELECT v, sum(lgamma(coalesce(m.w, 0) + 1) - lgamma(coalesce(m.w, 0) + dw + 1)) AS cells FROM dl LEFT JOIN m ON m.r = dl.r AND m.c = dl.c GROUP BY v)
+SELECT dg.v, b_from, b_to, round(coalesce(cells, 0) + (CASE WHEN x.size > 1 THEN (x.d_out + x.d_in - kk) * ln(x.size - 1) ELSE 0 END) - (x.d_out + x.d_in) * ln(x.size)
+  + (y.d_out + y.d_in + kk) * ln(y.size + 1) - (y.d_out + y.d_in) * ln(y.size) + ln(x.size) - ln(y.size + 1) + CASE WHEN x.size = 1 THEN fw.x ELSE 0 END, 3) AS de
+FROM dg LEFT JOIN cs USING (v) JOIN k x ON x.b = b_from JOIN k y ON y.b = b_to, fw""")
+def np_move_delta(spark: SparkSession, sf: str) -> DataFrame:
+    edges, labels, matrix = _nation_model(spark, sf)
+    edges, matrix = cut(edges), cut(matrix)
+    found = description.move_delta(edges, labels, matrix, bm.blocks(matrix, labels), _next_region(labels))
+    return found.select("v", "b_from", "b_to", F.round("de", 3).alias("de"))
+
+
 @query(f"WITH {_NATION}, {_MOVES}, {_MOVE_CELLS} SELECT * FROM dl")
 def vertex_move_cells(spark: SparkSession, sf: str) -> DataFrame:
     edges, labels, _ = _nation_model(spark, sf)
@@ -480,7 +511,18 @@ def snake_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return mcmc.snake_buckets(graph.degrees(src.trade(spark, sf)), "k", "v", 8)
 
 
-_ET = lambda w: f"(-lgamma({w} + 1))"
+@query(f"""WITH {_TRADE}, {_MODEL}, rk AS (SELECT b, row_number() OVER (ORDER BY d DESC, b) - 1 AS n FROM k)
+SELECT b, CASE WHEN n % 8 < 4 THEN n % 8 ELSE 7 - n % 8 END AS part FROM rk""")
+def distributed_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    _, labels, matrix = _trade_model(spark, sf)
+    return combine.distributed_blocks(bm.blocks(matrix, labels), 4, "degree")
+
+
+@query(f"""WITH {_TRADE}, {_MODEL}, rk AS (SELECT a.v, row_number() OVER (ORDER BY k.d DESC, a.v) - 1 AS n FROM a JOIN k USING (b))
+SELECT v, CASE WHEN n % 8 < 4 THEN n % 8 ELSE 7 - n % 8 END AS part FROM rk""")
+def distributed_vertices(spark: SparkSession, sf: str) -> DataFrame:
+    edges, labels, matrix = _trade_model(spark, sf)
+    return combine.distributed_vertices(edges, labels, bm.blocks(matrix, labels), 4, "block_degree")
 
 
 @query(f"""WITH {_TRADE},
@@ -542,6 +584,14 @@ def sampled_recovery(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, fitting.fit(edges, fitting.Config(seed=7, sample_fraction=0.5, sampler="max_degree")), truth)
 
 
+@query()
+def truth_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The composite evaluation: nations against regions on the trade graph."""
+    edges, labels = src.trade(spark, sf), src.trade_nations(spark, sf)
+    one = evaluate.scores(edges, labels, src.trade_regions(spark, sf), labels.count())
+    return one.select(*[F.round(c, 4).alias(c) for c in one.columns])
+
+
 @query("""SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS TIMESTAMP) AS start, event_type AS src, user_id % 10 AS dst, count(*) AS w FROM events GROUP BY ALL""")
 def windowed_edges(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming operator's windows over the whole table of events."""

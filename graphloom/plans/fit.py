@@ -9,6 +9,7 @@ checkpoint folder.
 
 from __future__ import annotations
 
+import math
 import random
 import time
 from dataclasses import dataclass, replace
@@ -28,22 +29,19 @@ from graphloom.plans.search import MergeSearch, Point, SplitSearch
 class Config:
     """Options of a fit; see the README for each."""
 
-    algorithm: str = "hybrid_mcmc"  # async_gibbs, metropolis_hastings, hybrid_mcmc
+    algorithm: str = "hybrid_mcmc"  # async_gibbs, metropolis_hastings, hybrid_mcmc; plans always sweep as async_gibbs
     approximate_merges: bool = False
     async_iterations: int | None = None
     batches: int = 1
-    degree_corrected: bool = False
-    influence: str = "degree"  # or degree_product
     detach: bool = False
-    evaluate: bool = False
     greedy: bool = True
-    mh_fraction: float = 0.075
+    mh_fraction: float = 0.075  # the share of vertices, of largest degree, that hybrid_mcmc moves one by one
     mix: bool = False
-    modularity: bool = False
+    objective: str = "parametric"  # or nonparametric, which isn't greedy and is fitted by the kernel
     dedup: bool = False
     ordered: bool = False
     sample_fraction: float = 1.0
-    sampler: str = "random"  # max_degree, random, expansion_snowball, degree_product
+    sampler: str = "random"  # max_degree, random, expansion_snowball, degree_product, degree_product_snowball
     splitter: str = "random"  # random, snowball
     num_subgraphs: int = 1
     subgraph_partition: str = "round_robin"  # or snowball
@@ -59,6 +57,8 @@ class Config:
     def __post_init__(self) -> None:
         if self.algorithm not in ("async_gibbs", "metropolis_hastings", "hybrid_mcmc"):
             raise ValueError(f"no algorithm {self.algorithm!r}")
+        if self.objective not in ("parametric", "nonparametric"):
+            raise ValueError(f"no objective {self.objective!r}")
         if not 0 < self.sample_fraction <= 1:
             raise ValueError("sample_fraction is over 0 and at most 1")
         if self.num_subgraphs < 1:
@@ -83,22 +83,29 @@ def prepared(edges: DataFrame, config: Config) -> DataFrame:
 # the sequential kernel
 
 
-def _local_model(edges: DataFrame, vertices: DataFrame) -> tuple[Model, list[int]]:
+def _local_model(edges: DataFrame, vertices: DataFrame, config: Config) -> tuple[Model, list[int]]:
     ids = sorted(r.v for r in vertices.collect())
     place = {v: k for k, v in enumerate(ids)}
     rows = sorted((place[r.src], place[r.dst], r.w) for r in edges.collect())
-    return Model(rows, len(ids), list(range(len(ids)))), ids
+    return Model(rows, len(ids), list(range(len(ids))), config.objective == "nonparametric"), ids
 
 
-def _vertex_phase(model: Model, config: Config, rng: random.Random, initial: float, bracketed: bool) -> tuple[int, int]:
+def _vertex_phase(model: Model, config: Config, rng: random.Random, initial: float, bracketed: bool, iteration: int = 0) -> tuple[int, int]:
+    algorithm = config.algorithm
+    if algorithm == "async_gibbs" and config.async_iterations is not None and iteration >= config.async_iterations:
+        algorithm = "metropolis_hastings"
+    greedy = config.greedy and config.objective == "parametric"
     order = sorted(range(model.vertices), key=lambda v: (-(model.k_out[v] + model.k_in[v]), v))
+    high = {"metropolis_hastings": len(order), "async_gibbs": 0}.get(algorithm, int(-(-len(order) * config.mh_fraction // 1)))
+    one_by_one, at_once = order[:high], order[high:]
     changes: list[float] = []
     moves = 0
     before = model.mdl()
     for _ in range(config.sweeps):
         if not config.ordered:
-            rng.shuffle(order)
-        moves += model.sweep(order, rng, config.greedy)
+            rng.shuffle(one_by_one)
+            rng.shuffle(at_once)
+        moves += model.sweep(one_by_one, rng, greedy) + (model.gibbs(at_once, rng, greedy, config.batches) if at_once else 0)
         after = model.mdl()
         changes.append(after - before)
         before = after
@@ -109,11 +116,12 @@ def _vertex_phase(model: Model, config: Config, rng: random.Random, initial: flo
 
 def fit_local(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bracket: bool = False) -> Fit:
     """The bottom-up search by the kernel."""
-    model, ids = _local_model(edges, vertices)
+    model, ids = _local_model(edges, vertices, config)
     rng = random.Random(config.seed)
     initial = model.mdl()
     search, profile = MergeSearch(), []
-    point = Point(model.blocks, initial, list(model.labels))
+    # one block for each vertex is a local optimum of the nonparametric length, so there it is only the start
+    point = Point(model.blocks, math.inf if model.nonparametric else initial, list(model.labels))
     iteration = 0
     while True:
         step = search.next(point)
@@ -124,7 +132,7 @@ def fit_local(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bra
         began = time.perf_counter()
         model.shrink(max(1, step.target), rng, config.proposals)
         merged = time.perf_counter()
-        sweeps, moves = _vertex_phase(model, config, rng, initial, search.bracketed)
+        sweeps, moves = _vertex_phase(model, config, rng, initial, search.bracketed, iteration)
         iteration += 1
         point = Point(model.blocks, model.mdl(), list(model.labels))
         profile.append({"iteration": iteration, "num_blocks": point.blocks, "mdl": point.mdl, "normalized_mdl_v1": point.mdl / (model.null_mdl() or 1.0), "block_merge_time": merged - began, "mcmc_time": time.perf_counter() - merged, "mcmc_iterations": sweeps, "mcmc_moves": moves})
@@ -219,6 +227,8 @@ def fit_plans(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bra
 def search_blocks(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bracket: bool = False) -> Fit:
     """Bottom-up, by the kernel if the graph is within ``local_edges``, else by plans."""
     small = edges.limit(config.local_edges + 1).count() <= config.local_edges and vertices.limit(config.local_edges + 1).count() <= config.local_edges
+    if not small and config.objective == "nonparametric":
+        raise ValueError(f"the nonparametric objective is fitted on at most {config.local_edges} edges")
     return (fit_local if small else fit_plans)(edges, vertices, config, stop_at_bracket)
 
 
@@ -250,6 +260,20 @@ def fit_top_down(edges: DataFrame, vertices: DataFrame, config: Config) -> Fit:
         point = Point(now, mdl, labels)
         profile.append({"iteration": iteration, "num_blocks": now, "mdl": point.mdl, "mcmc_iterations": sweeps, "mcmc_moves": moves})
     best = search.points[1]
+    if config.mix and search.bracketed:  # go on bottom-up from the bracket's model with most blocks
+        merging = MergeSearch()
+        for seen in search.points:
+            if seen:
+                merging.update(seen)
+        point = max((p for p in search.points if p), key=lambda p: p.blocks)
+        while not (step := merging.next(point)).done:
+            iteration += 1
+            seed = config.seed + 1009 * iteration
+            labels, blocks = merge_phase(edges, step.start.model, step.start.blocks, max(1, step.target), config, seed)
+            labels, mdl, sweeps, moves = vertex_phase(edges, labels, number, blocks, config, seed, initial, merging.bracketed)
+            point = Point(blocks, mdl, labels)
+            profile.append({"iteration": iteration, "num_blocks": blocks, "mdl": mdl, "mcmc_iterations": sweeps, "mcmc_moves": moves})
+        best = merging.points[1]
     return Fit(best.model, best.blocks, best.mdl, profile)
 
 
@@ -269,6 +293,8 @@ def fit(edges: DataFrame, config: Config = Config(), vertices: DataFrame | None
             chosen = sampling.degree_product(inner, wanted)
         elif config.sampler == "expansion_snowball":
             chosen = sampling.expansion(inner, wanted, sampling.max_degree(inner, 1))
+        elif config.sampler == "degree_product_snowball":
+            chosen = sampling.degree_product_snowball(inner, wanted, sampling.max_degree(inner, 1))
         else:
             chosen = sampling.hash_random(kept, wanted, config.seed)
         chosen = cut(chosen)
