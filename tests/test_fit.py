@@ -162,3 +162,23 @@ def test_stream_equals_table(spark, tmp_path):
         got = sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect()))
         want = sorted(map(tuple, of(events).collect()))
         assert got == want
+
+
+@pytest.mark.parametrize("options", [{"algorithm": "metropolis_hastings"}, {"algorithm": "async_gibbs", "batches": 3}, {"algorithm": "async_gibbs", "async_iterations": 2}, {"greedy": False, "sweeps": 30}, {"objective": "nonparametric"}, {"ordered": True, "directed": False}])
+def test_options_recover_a_planted_partition(spark, options):
+    edges, truth = planted(spark, 200, 3, 14, 0.95, 3)
+    found = fitting.fit(edges, fitting.Config(seed=5, **options))
+    assert score(found, truth) > 0.9
+
+
+def test_mixed_search(spark):
+    edges, truth = planted(spark, 40, 2, 8, 0.95, 3)
+    config = fitting.Config(seed=3, sweeps=3, trials=3, mix=True)
+    found = fitting.fit_top_down(fitting.prepared(edges, config), truth.select("v"), config)
+    assert found.assignment.count() == 40
+
+
+def test_large_nonparametric_fits_are_refused(spark):
+    edges, _ = planted(spark, 40, 2, 8, 0.95, 3)
+    with pytest.raises(ValueError):
+        fitting.fit(edges, fitting.Config(objective="nonparametric", local_edges=10))

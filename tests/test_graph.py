@@ -312,3 +312,50 @@ def test_consecutive_matches_a_window(spark):
         ordered = [u for _, _, _, u in sorted(x for x in data if x[0] == g)]
         want += list(zip(ordered, ordered[1:], strict=False))
     assert rows(graph.consecutive(events, "g", ["ts", "id"], "u"), "src", "dst") == sorted(want)
+
+
+def test_nonparametric_changes(spark, edges, labels):
+    m = bm.block_matrix(edges, labels)
+    table = bm.blocks(m, labels)
+    merged = dict(((r.block, r.into), r.de) for r in description.merge_delta(m, table, merge.all_pairs(labels)).collect())
+    assert merged[0, 1] == pytest.approx(-4.273180636, abs=1e-7)
+    kernel = Model([(a, b, 1) for a, b in TOY], 11, LABELS, nonparametric=True)
+    before = kernel.mdl()
+    assert before == pytest.approx(71.29003084, abs=1e-7)
+    for (b, into), de in merged.items():
+        other = Model([(x, y, 1) for x, y in TOY], 11, [into if x == b else x for x in LABELS], nonparametric=True)
+        assert other.mdl() - before == pytest.approx(de, abs=1e-8)
+    moves = spark.createDataFrame([(v, (LABELS[v] + 1) % 3) for v in range(11)], "v long, b_to long")
+    for r in description.move_delta(edges, labels, m, table, moves).collect():
+        cells = kernel.move_cells(r.v, r.b_to)
+        assert r.de == pytest.approx(kernel.move_delta(r.v, r.b_to, cells), abs=1e-8)
+        kernel.move(r.v, r.b_to, cells)
+        assert kernel.mdl() - before == pytest.approx(r.de, abs=1e-8)
+        kernel.move(r.v, r.b_from, kernel.move_cells(r.v, r.b_from))
+
+
+def test_a_move_that_empties_a_block(spark, edges):
+    alone = [0] * 10 + [1]
+    a = spark.createDataFrame(list(enumerate(alone)), "v long, b long")
+    m = bm.block_matrix(edges, a)
+    move = spark.createDataFrame([(10, 0)], "v long, b_to long")
+    de = description.move_delta(edges, a, m, bm.blocks(m, a), move).first().de
+    one, two = (Model([(x, y, 1) for x, y in TOY], 11, x, nonparametric=True).mdl() for x in ([0] * 11, alone))
+    assert de == pytest.approx(one - two, abs=1e-8)
+
+
+def test_distribution_and_snowball(edges, labels):
+    table = bm.blocks(bm.block_matrix(edges, labels), labels)
+    assert rows(combine.distributed_blocks(table, 2), "b", "part") == [(0, 0), (1, 1), (2, 0)]
+    assert rows(combine.distributed_blocks(table, 2, "degree"), "b", "part") == [(0, 0), (1, 1), (2, 1)]
+    parts = [p for _, p in rows(combine.distributed_vertices(edges, labels, table, 2), "v", "part")]
+    assert sorted(parts) == [0] * 5 + [1] * 6 or sorted(parts) == [0] * 6 + [1] * 5
+    with pytest.raises(ValueError):
+        combine.distributed_blocks(table, 2, "other")
+    assert sampling.degree_product_snowball(edges, 6, sampling.max_degree(edges, 1)).count() == 6
+
+
+def test_truth_scores(spark, edges, labels):
+    truth = labels.withColumnRenamed("b", "t")
+    one = evaluate.scores(edges, labels, truth, 11).first()
+    assert (one.f1, one.nmi) == pytest.approx((1, 1)) and one.true_mdl == pytest.approx(92.58797747, abs=1e-7)
