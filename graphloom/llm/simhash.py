@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = connected_components(links(reps, radius)).withColumnRenamed("node", "fp")
     least = members.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     linked = members.join(least, "root").select("fp", "least")
-    classes = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # written first, so that both sides of the last join are dealt anew and a fingerprint of many copies can be split
+    classes = cut(reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
