@@ -577,6 +577,13 @@ def planted_recovery(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, fitting.fit(edges, fitting.Config(seed=7)), truth)
 
 
+@query()
+def nation_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit the trade between nations, counted over all order lines, and score the blocks against the regions."""
+    found = fitting.fit(src.nations(spark, sf), fitting.Config(seed=7))
+    return _scored(spark, found, src.nation_regions(spark, sf).withColumnRenamed("b", "t"))
+
+
 @query()
 def sampled_recovery(spark: SparkSession, sf: str) -> DataFrame:
     """Fit half of the vertices, of largest degree, and extend their labels."""

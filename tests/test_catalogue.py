@@ -30,3 +30,18 @@ def test_oracle(spark, duck, name):
     columns = sorted(want.column_names)
     count = lambda t: Counter(zip(*[t[c].to_pylist() for c in columns], strict=True))
     assert count(got) == count(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_queries_without_oracle_repeat(spark, name):
+    first, second = ([tuple(r) for r in QUERIES[name](spark, DATA).collect()] for _ in range(2))
+    assert first and first == second
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() == 1
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
