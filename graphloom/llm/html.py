@@ -60,6 +60,8 @@ OTHER_NAMES = frozenset(
 )
 HEADER_NAMES = frozenset({"header", "hdr", "heading", "siteheader", "top"})
 ARTICLE_NAMES = frozenset("article post entry story content main body text".split())
+#: Words that say that an element has or lacks what the next word names, not that it is that.
+HAVING_NAMES = frozenset("has have with without no not and".split())
 
 
 class Weights(NamedTuple):
@@ -79,12 +81,12 @@ def _names(value: str) -> set[str]:
     return set(re.findall(r"[a-z]+", apart.lower()))
 
 
-def _is_other(name: str, attrs: str, in_article: bool) -> bool:
+def _is_other(name: str, attrs: str, in_article: bool, by_name: bool) -> bool:
     if name in ASIDE:
         return True
     if name == "header" and not in_article:
         return True
-    if not attrs or attrs.isspace():
+    if not by_name or not attrs or attrs.isspace():
         return False
     given = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I):
@@ -92,14 +94,21 @@ def _is_other(name: str, attrs: str, in_article: bool) -> bool:
     if name in ("html", "body") or name in ARTICLE:
         return False
     words = _names(" ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop", "data-role", "aria-label")))
+    if words & HAVING_NAMES:
+        return False
     if words & OTHER_NAMES:
         return True
     return bool(words & HEADER_NAMES) and not in_article and not words & ARTICLE_NAMES
 
 
-def tokens(page: str) -> Iterator[Token]:
-    """Tags and runs of text in page order; what no reader sees is left out."""
-    stack: list[tuple[str, bool, bool]] = []  # name, whether it is unseen, whether it is other than the article
+def tokens(page: str, by_name: bool = True) -> Iterator[Token]:
+    """Tags and runs of text in page order; what no reader sees is left out.
+
+    ``by_name`` takes classes, ids and roles as signs of what an element is;
+    without, only its tag counts.  Inside ``main`` the names of what it stands
+    in don't count.
+    """
+    stack: list[tuple[str, bool, int]] = []  # name, whether it is unseen, how much it adds to ``other``
     unseen = other = marked = links = 0
     at, end = 0, len(page)
 
@@ -127,7 +136,7 @@ def tokens(page: str) -> Iterator[Token]:
             # ends the nearest element of the name and all inside it; a stray end tag ends nothing
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None and not (name in INLINE and any(x[0] not in INLINE for x in stack[depth + 1 :])):
-                was, ended_other = unseen, stack[depth][2]
+                was, ended_other = unseen, stack[depth][2] > 0
                 while len(stack) > depth:
                     pop()
                 if not was:
@@ -155,14 +164,15 @@ def tokens(page: str) -> Iterator[Token]:
                     if stack[k][0] in bounds:
                         break
         is_unseen = name in UNSEEN
-        is_other = not is_unseen and name not in VOID and _is_other(name, m["attrs"], marked > 0)
+        is_other = not is_unseen and name not in VOID and _is_other(name, m["attrs"], marked > 0, by_name)
         if not unseen:
             yield Token("break" if other or is_other else "tag", name, marked > 0)
         if name in VOID or m["attrs"].endswith("/"):
             continue
-        stack.append((name, is_unseen, is_other))
+        adds = -other if name == "main" else int(is_other)
+        stack.append((name, is_unseen, adds))
         unseen += is_unseen
-        other += is_other
+        other += adds
         marked += name in ARTICLE
         links += name == "a"
 
@@ -212,8 +222,15 @@ def learn(pages: list[str]) -> Weights:
 
 
 def extract(page: str, weights: Weights) -> str:
-    """The main text: blocks joined by one space, white space inside a block made one space."""
-    found = list(tokens(page))
+    """The main text: blocks joined by one space, white space inside a block made one space.
+
+    A page whose every element names itself as something else is read once
+    more, by its tags alone.
+    """
+    return _extract(list(tokens(page)), weights) or _extract(list(tokens(page, by_name=False)), weights)
+
+
+def _extract(found: list[Token], weights: Weights) -> str:
     best = (0.0, 0, 0)
     total, start = 0.0, 0
     for k, t in enumerate(found):

@@ -136,6 +136,14 @@ def test_article_without_marks():
     assert html.extract(PAGE.replace('<div class="content">', "<main>"), weights) == ARTICLE
 
 
+def test_names_of_containers():
+    weights = html.learn([])
+    for container in ('<div class="layout has-sidebar">', '<div class="page with-ads">', '<div id="comments-and-all">'):
+        assert html.extract(PAGE.replace('<div class="layout">', container), weights) == ARTICLE
+    assert html.extract(f'<body><div class="sidebar"><main>{"<p>words of it</p>" * 3}</main></div><footer>end</footer>', weights) == "words of it words of it words of it"
+    assert html.extract('<body><div class="widget"><p>only this here</p></div>', weights) == "only this here"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>", "</p></div>", "<p class='x", "&amp", "<nav>menu</nav>", "<b><i></b></i>", "\x00<p>\x00"])
 def test_broken_pages(page):
     assert isinstance(html.extract(page, html.learn([])), str)
