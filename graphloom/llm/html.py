@@ -242,8 +242,14 @@ def _extract(found: list[Token], weights: Weights) -> str:
             total += weights.words[t.kind] * len(t.value.split())
         if total > best[0]:
             best = (total, start, k + 1)
+    _, start, end = best
+    if any(t.marked for t in found[start:end]):  # of a marked article nothing is left off at either end
+        while start > 0 and found[start - 1].marked:
+            start -= 1
+        while end < len(found) and found[end].marked:
+            end += 1
     parts: list[str] = []
-    for t in found[best[1] : best[2]]:
+    for t in found[start:end]:
         if t.kind in ("tag", "break"):
             if t.value.lstrip("/") not in INLINE:
                 parts.append(" ")

@@ -141,6 +141,8 @@ def test_names_of_containers():
     for container in ('<div class="layout has-sidebar">', '<div class="page with-ads">', '<div id="comments-and-all">'):
         assert html.extract(PAGE.replace('<div class="layout">', container), weights) == ARTICLE
     assert html.extract(f'<body><div class="sidebar"><main>{"<p>words of it</p>" * 3}</main></div><footer>end</footer>', weights) == "words of it words of it words of it"
+    table = "<table><tr><td>c1</td><td>c2</td></tr></table>"
+    assert html.extract(f"<body><article>{table}<p>words of the article</p>{table}</article><p>end</p></body>", weights) == "c1 c2 words of the article c1 c2"
     assert html.extract('<body><div class="widget"><p>only this here</p></div>', weights) == "only this here"
 
 
