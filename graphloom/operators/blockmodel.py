@@ -6,9 +6,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.common import numbered
 from graphloom.operators.graph import degrees
 
 
@@ -45,7 +46,7 @@ def degree_histogram(edges: DataFrame, assignment: DataFrame) -> DataFrame:
 def compact(assignment: DataFrame) -> DataFrame:
     """Labels as dense numbers from 0, in the order of the old ones."""
     old = assignment.where("b is not null").select("b").distinct()
-    dense = old.select("b", (F.row_number().over(Window.orderBy("b")) - 1).cast("long").alias("new"))
+    dense = numbered(old, F.col("b"), name="new").select("b", "new")
     return assignment.join(dense, "b", "left").select("v", F.col("new").alias("b"))
 
 

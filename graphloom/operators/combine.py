@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.entropy import merge_delta
-from graphloom.operators.merge import best_merges
+from graphloom.operators.merge import adjacent_pairs, best_merges
 
 
 def concatenated(parts: DataFrame) -> DataFrame:
@@ -19,9 +19,21 @@ def concatenated(parts: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(before), "part").select("v", (F.col("b") + F.col("before")).cast("long").alias("b"))
 
 
+#: Pairs of blocks that are scored one by one.
+CROSS = 20_000_000
+
+
 def cross_merges(matrix: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """``block, into, de``: every block of ``first(b)`` with the best block of ``second(b)`` for it."""
-    candidates = first.select(F.col("b").alias("block")).crossJoin(F.broadcast(second.select(F.col("b").alias("into"))))
+    """``block, into, de``: every block of ``first(b)`` with the best block of ``second(b)`` for it.
+
+    All pairs are scored while there are at most ``CROSS``; with more blocks
+    only those that share an edge are, and a block without any gets none.
+    """
+    one, two = first.select(F.col("b").alias("block")).distinct(), second.select(F.col("b").alias("into")).distinct()
+    if one.count() * two.count() <= CROSS:
+        candidates = one.crossJoin(two)
+    else:
+        candidates = adjacent_pairs(matrix).join(one, "block", "left_semi").join(two, "into", "left_semi")
     return best_merges(merge_delta(matrix, candidates))
 
 

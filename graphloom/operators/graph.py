@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.common import cut, numbered
+from graphloom.operators.common import cut, first_n, numbered
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def largest(frame: DataFrame, score: str, key: str, n: int) -> DataFrame:
         return frame
     ties = frame.where(F.col(score) == at[score])
     room = n - (at["upto"] - at["c"])
-    return frame.where(F.col(score) > at[score]).unionByName(ties if room >= at["c"] else ties.orderBy(key).limit(room))
+    return frame.where(F.col(score) > at[score]).unionByName(ties if room >= at["c"] else first_n(ties, room, F.col(key)))
 
 
 def high_low(edges: DataFrame, fraction: float) -> DataFrame:
@@ -104,7 +104,7 @@ def influential_by_edges(edges: DataFrame, n: int) -> DataFrame:
     ranked = numbered(degree_products(edges).select("src", "dst", "product").distinct(), *edge_order(), name="rank")
     ends = ranked.select(F.posexplode(F.array("src", "dst")).alias("side", "v"), "rank")
     first = cut(ends.groupBy("v").agg(F.min(F.struct("rank", "side")).alias("first")))
-    return first.orderBy("first", "v").limit(n).select("v")
+    return first_n(first, n, F.col("first.rank"), F.col("first.side"), F.col("v")).select("v")
 
 
 def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def consecutive(events: DataFrame, group: str, order: list[str], value: str) ->
     Rows are range-partitioned by group and order.  Inside a partition the next
     row is a window function; a partition's last row of a group finds its
     successor among the partitions' first rows, of which there is one for each
-    group and partition.
+    partition and group in it.
     """
     keys = [group, *order]
     dealt = cut(events.select(*dict.fromkeys([*keys, value])).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
@@ -146,5 +146,5 @@ def consecutive(events: DataFrame, group: str, order: list[str], value: str) ->
     ahead = dealt.select("_part", group, F.col(value).alias("src"), F.lead(value).over(within).alias("dst"))
     first = dealt.groupBy("_part", group).agg(F.min_by(value, F.struct(*order)).alias("first"))
     after = first.select("_part", group, F.lead("first").over(Window.partitionBy(group).orderBy("_part")).alias("after"))
-    joined = ahead.join(F.broadcast(after), ["_part", group], "left")
+    joined = ahead.join(after, ["_part", group], "left")
     return joined.select("src", F.coalesce("dst", "after").alias("dst")).where("dst is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.blockmodel import neighbor_weights
-from graphloom.operators.common import cut
+from graphloom.operators.common import cut, first_n
 from graphloom.operators.entropy import merge_delta
 
 
@@ -42,7 +42,7 @@ def resolved(merges: DataFrame) -> DataFrame:
 
 def chosen(best: DataFrame, wanted: int) -> DataFrame:
     """The ``wanted`` merges of least ``de``, ties by block; they may chain or meet."""
-    return best.orderBy("de", "block").limit(wanted)
+    return first_n(best, wanted, F.col("de"), F.col("block"))
 
 
 def merge_step(matrix: DataFrame, candidates: DataFrame, wanted: int) -> DataFrame:

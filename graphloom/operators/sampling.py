@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.randomness import uniform
 from graphloom.operators import graph
-from graphloom.operators.common import cut, numbered
+from graphloom.operators.common import cut, first_n, numbered
 
 
 def max_degree(edges: DataFrame, n: int) -> DataFrame:
@@ -17,7 +17,7 @@ def max_degree(edges: DataFrame, n: int) -> DataFrame:
 
 def hash_random(vertices: DataFrame, n: int, seed: int) -> DataFrame:
     """``v``: ``n`` vertices in the order of a seeded hash."""
-    return vertices.select("v", uniform(seed, F.col("v")).alias("u")).orderBy("u", "v").limit(n).select("v")
+    return first_n(vertices.select("v", uniform(seed, F.col("v")).alias("u")), n, F.col("u"), F.col("v")).select("v")
 
 
 def degree_product(edges: DataFrame, n: int) -> DataFrame:
@@ -45,7 +45,7 @@ def expansion(edges: DataFrame, n: int, seeds: DataFrame) -> DataFrame:
         frontier = near.join(sample, "v", "left_semi").select(F.col("nb").alias("v")).distinct().join(sample, "v", "left_anti")
         reach = near.join(frontier, "v", "left_semi").join(sample.withColumnRenamed("v", "nb"), "nb", "left_anti").join(frontier.withColumnRenamed("v", "nb"), "nb", "left_anti")
         scored = frontier.join(reach.groupBy("v").agg(F.count("*").alias("new")), "v", "left").select("v", F.coalesce("new", F.lit(0)).alias("new"))
-        wave = cut(scored.orderBy(F.desc("new"), "v").limit(min(n - size, max(1, size))).select("v"))
+        wave = cut(first_n(scored, min(n - size, max(1, size)), F.desc("new"), F.col("v")).select("v"))
         if wave.isEmpty():
             wave = deg.join(sample, "v", "left_anti").orderBy(F.desc("k"), "v").limit(1).select("v")
             if wave.isEmpty():
@@ -66,7 +66,7 @@ def degree_product_snowball(edges: DataFrame, n: int, seeds: DataFrame) -> DataF
     sample = cut(seeds.select("v").distinct())
     while (size := sample.count()) < n:
         frontier = both.join(sample, "v", "left_semi").groupBy(F.col("nb").alias("v")).agg(F.max("product").alias("product")).join(sample, "v", "left_anti")
-        wave = cut(frontier.orderBy(F.desc("product"), "v").limit(min(n - size, max(1, size))).select("v"))
+        wave = cut(first_n(frontier, min(n - size, max(1, size)), F.desc("product"), F.col("v")).select("v"))
         if wave.isEmpty():
             wave = deg.join(sample, "v", "left_anti").orderBy(F.desc("k"), "v").limit(1).select("v")
             if wave.isEmpty():

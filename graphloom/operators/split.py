@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.numeric import lbinom, lfactorial
 from graphloom.functions.randomness import uniform
 from graphloom.operators import blockmodel as bm
 from graphloom.operators import graph
-from graphloom.operators.common import cut
+from graphloom.operators.common import cut, first_n, numbered
 from graphloom.operators.description import block_term, edge_term, edges_dl
-from graphloom.functions.numeric import lbinom, lfactorial
 
 
 def random_sides(assignment: DataFrame, trials: int, seed: int) -> DataFrame:
@@ -75,7 +75,7 @@ def apply_splits(assignment: DataFrame, sides: DataFrame, best: DataFrame, num_b
     A random split seldom saves anything as it is; the sweeps that follow move
     the vertices to the sides they belong to, so a positive ``de`` counts too.
     """
-    picked = best.orderBy("de", "b").limit(wanted)
-    fresh = picked.select("b", "trial", (F.row_number().over(Window.orderBy("de", "b")) - 1 + num_blocks).cast("long").alias("new"))
-    moved = sides.where("side = 1").join(F.broadcast(fresh), ["b", "trial"]).select("v", F.col("new").alias("b_to"))
+    picked = numbered(first_n(best, wanted, F.col("de"), F.col("b")), F.col("de"), F.col("b"), name="_n")
+    fresh = picked.select("b", "trial", (F.col("_n") + num_blocks).alias("new"))
+    moved = sides.where("side = 1").join(fresh, ["b", "trial"]).select("v", F.col("new").alias("b_to"))
     return bm.moved(assignment, moved)
