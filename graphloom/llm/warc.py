@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import scratch, small_batches, table
+from graphloom.llm.common import cut, scratch, small_batches, table
 
 #: Bytes of records, before compression, in one archive.
 ARCHIVE_BYTES = 16 << 20
@@ -160,9 +160,10 @@ def read_archive(source, chunk: int = 1 << 20) -> Iterator[Record]:
 
 
 def _filesystem(path: str):
+    """pyarrow's file system for ``path`` and the path in it; Hadoop's names for S3 are understood."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 def _writer(folder: str, archive_bytes: int):
@@ -210,7 +211,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes:
     system.create_dir(base, recursive=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("key", F.concat_ws(":", F.sha1("payload"), F.octet_length("payload")))
-    firsts = keyed.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    # written first, so that the join is a broadcast if few payloads repeat, and else can split a payload of many pages
+    firsts = cut(keyed.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
     marked = keyed.join(firsts, "key", "left").select("page_id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
     manifest = f"{folder}/manifest"
     marked.mapInArrow(_writer(folder, archive_bytes), MANIFEST).write.parquet(manifest)
