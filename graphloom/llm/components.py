@@ -2,9 +2,9 @@
 
 Alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014).  Every step is a partial
-aggregation and an equi-join, so a hub's edges are split by the skew join and
-no component meets in one task.  Each round is written to the shared
-checkpoint folder.
+aggregation and an equi-join.  The aggregate is written first: it is then
+broadcast if its size allows, or both sides of the join are dealt anew and a
+hub's edges are split by the skew join.  No component meets in one task.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from graphloom.llm.common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
     near = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return near.union(least.select("a", F.col("m").alias("b")))
 

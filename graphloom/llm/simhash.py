@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     members = connected_components(links(reps, radius)).withColumnRenamed("node", "fp")
-    least = members.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("least"))
+    least = cut(members.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("least")))
     linked = members.join(least, "root").select("fp", "least")
     # written first, so that both sides of the last join are dealt anew and a fingerprint of many copies can be split
     classes = cut(reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
@@ -195,9 +195,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stay if one's component has no id at all, else all go.  The texts are
     shuffled once, by id; nothing is collected.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    found = cut(near_duplicates(docs, id_col, text_col, shingle, radius).select("doc_id", "component_id"))
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct()
+    winners = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
     kept = rows.join(winners, F.col("id").eqNullSafe(F.col("winner")), "left_semi")
     if repeated:
