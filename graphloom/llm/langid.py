@@ -35,6 +35,8 @@ COST = 2.0
 #: Labelled rows of each language that the models are learned from, and the longest text among them in bytes.
 SAMPLE = 500
 SAMPLE_TEXT = 1 << 16
+#: Labels that are learned at most, the most frequent.
+LABELS = 200
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -142,8 +144,8 @@ def held_out(doc_id: Column, of: int, remainder: int) -> Column:
 
 
 def labelled_sample(rows: DataFrame, label: str, key: str, each: int) -> DataFrame:
-    """About ``each`` rows of every label, chosen by a hash of ``key``, and never over twice as many in all."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
+    """About ``each`` rows of each of the ``LABELS`` most frequent labels, chosen by a hash of ``key``, and never over twice as many in all."""
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(LABELS).collect()}
     keep = F.lit(False)
     for value, n in counts.items():
         share = min(1.0, each / n)
