@@ -69,11 +69,11 @@ CASES = {
 }
 
 
-def test_license_rules(spark):
+def test_license_rules(spark, tmp_path):
     assert len(licenses.rules()) >= 200
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(CASES)], "doc_id long, text string")
-    docs.write.mode("overwrite").parquet("file:///tmp/graphloom-licenses/documents.parquet")
-    got = {r.doc_id: r for r in QUERIES["op2_licenses"](spark, "file:///tmp/graphloom-licenses").collect()}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op2_licenses"](spark, str(tmp_path)).collect()}
     for k, (n, base, labels) in enumerate(CASES.values()):
         assert (got[k].n_base, got[k].base_labels, got[k].labels) == (n, base, labels)
         assert 0 <= got[k].score <= 1 and (got[k].score > 0) == bool(labels)
