@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps; no component meets in one task."""
+"""Connected components by alternating large-star and small-star steps.
+
+The aggregates are written before they are joined, so that a hub's edges can be
+split; no component meets in one task.
+"""
 
 from __future__ import annotations
 
@@ -18,9 +22,10 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         state = now
         both = stars.union(stars.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
         stars = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
