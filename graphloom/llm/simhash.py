@@ -199,7 +199,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
     winners = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
-    kept = rows.join(winners, F.col("id").eqNullSafe(F.col("winner")), "left_semi")
+    # a merge join at every size: the winners grow with the input, and an id of many rows can be split
+    kept = rows.join(winners.hint("merge"), F.col("id").eqNullSafe(F.col("winner")), "left_semi")
     if repeated:
         kept = kept.withColumn("text_hash", F.sha2(F.col(f"row.`{text_col}`").cast("binary"), 256)).dropDuplicates(["id", "text_hash"])
     return kept.select("row.*")
