@@ -37,6 +37,8 @@ ARCHIVE_BYTES = 16 << 20
 DICT_BYTES = 64 << 10
 #: Bytes of an archive's records that its dictionary is trained on, taken at even steps.
 TRAIN_BYTES = 4 << 20
+#: Payloads that occur more than once and are sent to all tasks, of about 100 bytes each; more are joined by a shuffle.
+SENT = 200_000
 LEVEL = 6
 DATE = "2000-01-01T00:00:00Z"
 DICT_MAGIC = 0x184D2A5D
@@ -211,9 +213,10 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes:
     system.create_dir(base, recursive=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("key", F.concat_ws(":", F.sha1("payload"), F.octet_length("payload")))
-    # written first, so that the join is a broadcast if few payloads repeat, and else can split a payload of many pages
+    # written first, so that its size is known: few are sent to the payloads, many are merged with them, where a payload of many pages can be split
     firsts = cut(keyed.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
-    marked = keyed.join(firsts, "key", "left").select("page_id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    sent = F.broadcast(firsts) if firsts.count() <= SENT else firsts.hint("merge")
+    marked = keyed.join(sent, "key", "left").select("page_id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
     manifest = f"{folder}/manifest"
     marked.mapInArrow(_writer(folder, archive_bytes), MANIFEST).write.parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)

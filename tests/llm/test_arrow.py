@@ -23,7 +23,9 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit(1), "first": F.lit(2), "payload": F.lit(3), "n": F.lit(4)})
 
 
-def test_archive_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("sent", [warc.SENT, 0])
+def test_archive_round_trip(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(warc, "SENT", sent)
     manifest = warc.write_warc(pages(spark), str(tmp_path / "w"))
     got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload and bytes(r.payload)) for r in warc.read_warc(manifest).collect()), key=str)
     same = len("<p>same</p>")
