@@ -187,15 +187,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id; all columns as they are.
+def keep_least(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each of ``components(doc_id, component_id)``, that with the smallest id; all columns as they are.
 
     Rows of one id and one text are one document, and one of them stays.  Rows
     without an id can't be told apart by it: all of them with distinct texts
     stay if one's component has no id at all, else all go.  The texts are
     shuffled once, by id; nothing is collected.
     """
-    found = cut(near_duplicates(docs, id_col, text_col, shingle, radius).select("doc_id", "component_id"))
+    found = cut(components.select("doc_id", "component_id"))
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
     winners = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
@@ -206,5 +206,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return kept.select("row.*")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each component of fingerprints, as ``keep_least`` says."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
