@@ -28,7 +28,7 @@ BASE_FORM = r"(?<![^ ])(?:mit|apache|general public) license(?![^ ])"
 
 _V = "(?: version)?(?: v)?"
 
-#: label, keyword, pattern of the name in normalised words, whether the name alone says enough.
+#: label, keyword, pattern of the name in normalised words, whether the name alone says enough.  Every match has a word that starts with the keyword.
 NAMES = (
     ("mit", "mit", r"mit", False),
     ("mit-0", "attribution", r"mit no attribution", True),
@@ -41,7 +41,8 @@ NAMES = (
     ("gpl", "gpl", r"(?:gnu )?gpl", True),
     ("gpl-2.0", "gpl", rf"(?:gnu )?gpl(?:v2|{_V} 2(?: 0)?)", True),
     ("gpl-3.0", "gpl", rf"(?:gnu )?gpl(?:v3|{_V} 3(?: 0)?)", True),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public", True),
+    ("lgpl", "lesser", r"(?:gnu )?lesser general public", True),
+    ("lgpl", "library", r"(?:gnu )?library general public", True),
     ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public license{_V} 2 1", True),
     ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public license{_V} 3(?: 0)?", True),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl(?:v[23])?", True),
@@ -49,7 +50,8 @@ NAMES = (
     ("agpl", "affero", r"(?:gnu )?affero general public", True),
     ("agpl", "agpl", r"agpl(?:v3)?", True),
     ("gfdl", "documentation", r"(?:gnu )?free documentation", False),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", False),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)", False),
+    ("bsd-2-clause", "freebsd", r"freebsd", False),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", True),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)", True),
     ("bsd", "bsd", r"bsd(?: style)?", False),
@@ -103,7 +105,8 @@ NAMES = (
     ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s", True),
     ("public-domain", "domain", r"public domain", False),
     ("llama", "llama", r"llama(?: [23])?(?: [0-9])? community", True),
-    ("openrail", "openrail", r"(?:creativeml )?open ?rail(?: m)?", True),
+    ("openrail", "openrail", r"(?:creativeml )?openrail(?: m)?", True),
+    ("openrail", "rail", r"(?:creativeml )?open rail(?: m)?", True),
     ("proprietary", "proprietary", r"proprietary", False),
 )
 
