@@ -3,7 +3,8 @@
 A text is normalised to lower-case words joined by one space, so that a rule
 sees "CC BY-NC 4.0" as ``cc by nc 4 0`` whatever the punctuation and line
 breaks.  The rules are the product of hand-written name patterns and
-hand-written sentence templates.  Each has a keyword and the anchor words of
+hand-written sentence templates, and signatures of what the licenses themselves
+say, for texts that don't name theirs.  Each has a keyword and the anchor words of
 its template; only rules whose keyword and anchors stand in the text are tried,
 after one cheap test for any keyword at all.  A detection is an interval of
 words.  One that lies inside an interval of a rule of the same or a better
@@ -127,6 +128,40 @@ TEMPLATES = (
     (5, 0.6, "none", r"{name}"),
 )
 
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal {} the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+_FSF = "general public license as published by the free software foundation (?:either )?version "
+
+#: label, keyword and pattern of what a license's own text or header says, whether it is named or not.
+SIGNATURES = (
+    ("mit", "hereby", _MIT_GRANT.format("in") + "subject to"),
+    ("mit-0", "hereby", _MIT_GRANT.format("in") + "the software is provided"),
+    ("ncsa", "hereby", _MIT_GRANT.format("with") + "subject to"),
+    ("isc", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("0bsd", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("postgresql", "hereby", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsl-1.0", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "materials", r"materials provided with the distribution this software is provided"),
+    ("bsd-3-clause", "materials", r"materials provided with the distribution (?:3 )?(?:neither the name|the names? of)"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("apache-2.0", "applicable", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "hereby", r"subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("gpl-2.0", "foundation", rf"gnu {_FSF}2"),
+    ("gpl-3.0", "foundation", rf"gnu {_FSF}3"),
+    ("lgpl-2.1", "foundation", rf"gnu lesser {_FSF}2 1"),
+    ("lgpl-3.0", "foundation", rf"gnu lesser {_FSF}3"),
+    ("agpl-3.0", "foundation", rf"gnu affero {_FSF}3"),
+    ("gpl-3.0", "copyleft", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("mpl-2.0", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", r"you just do what the fuck you want to"),
+    ("cc0-1.0", "neighboring", r"waived all copyright and related or neighboring rights"),
+)
+
+#: Of all signatures: priority, score and anchors.
+SIGNED = (2, 0.95, "none")
+
 #: Score of a text in which only the base finds anything.
 BASE_SCORE = 0.7
 
@@ -152,6 +187,8 @@ def rules() -> list[Rule]:
         for label, keyword, name, alone in NAMES
         if alone or priority < 5
     ]
+    priority, score, anchor = SIGNED
+    made += [(priority, score, label, keyword, list(ANCHORS).index(anchor), rf"(?<![^ ]){pattern}(?![^ ])") for label, keyword, pattern in SIGNATURES]
     return [Rule(k, *x) for k, x in enumerate(sorted(made, key=lambda x: x[0]))]
 
 

@@ -35,6 +35,12 @@ def test_every_alternative_has_its_keyword():
             assert f" {keyword}" in f" {text}", (label, keyword, text)
 
 
+def test_every_signature_has_its_keyword():
+    for label, keyword, pattern in licenses.SIGNATURES:
+        for text in _samples(_parser.parse(pattern)):
+            assert f" {keyword}" in f" {text}", (label, keyword, text)
+
+
 def _labels(spark, texts: list[str]) -> list[set[str]]:
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: set(r.labels) for r in licenses.scan_licenses(docs).select("doc_id", F.transform("found", lambda d: d["label"]).alias("labels")).collect()}
@@ -44,3 +50,25 @@ def _labels(spark, texts: list[str]) -> list[set[str]]:
 def test_names_that_stand_without_another_rules_keyword(spark):
     texts = ["Released under the FreeBSD License.", "It is under Open RAIL-M terms.", "GNU Library General Public rules apply."]
     assert _labels(spark, texts) == [{"bsd-2-clause"}, {"openrail"}, {"lgpl"}]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse products."
+END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""
+GPL = """you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+Software Foundation, either version 3 of the License, or (at your option) any later version."""
+
+
+def test_whole_texts_without_a_name(spark):
+    assert _labels(spark, [MIT, ISC, BSD2 + END, BSD3 + END, GPL]) == [{"mit"}, {"isc"}, {"bsd", "bsd-2-clause"}, {"bsd", "bsd-3-clause"}, {"gpl-3.0"}]
