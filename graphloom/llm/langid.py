@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches, table
+from graphloom.llm.common import cut, small_batches, table
 
 BINS_BITS = 15
 WINDOW = 48
@@ -35,7 +35,7 @@ COST = 2.0
 #: Labelled rows of each language that the models are learned from, and the longest text among them in bytes.
 SAMPLE = 500
 SAMPLE_TEXT = 1 << 16
-#: Labels that are learned at most, the most frequent.
+#: Labels that ``labelled_sample`` takes at most, the most frequent.
 LABELS = 200
 UNKNOWN = "und"
 
@@ -154,10 +154,21 @@ def labelled_sample(rows: DataFrame, label: str, key: str, each: int) -> DataFra
 
 
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from rows with text and ``lang`` that aren't held out; null ids take part."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2) & (F.octet_length("text") <= SAMPLE_TEXT))
-    chosen = labelled_sample(rows.select("doc_id", "lang", "text"), "lang", "doc_id", sample).collect()
-    return learn(sorted((r.lang, r.text) for r in chosen))
+    """Learn every label from rows with text and ``lang`` that aren't held out; null ids take part.
+
+    A language has about ``sample`` rows of at most ``SAMPLE_TEXT`` bytes, or the starts of longer ones if it has no others.
+    """
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "lang", "text")
+    short = F.octet_length("text") <= SAMPLE_TEXT
+    counts = cut(rows.groupBy("lang").agg(F.count(F.when(short, 1)).alias("n_short"), F.count("*").alias("n")))
+    # a label's longer rows are counted only if it has no others
+    share = F.least(F.lit(1.0), F.lit(sample) / F.when(F.col("n_short") > 0, F.col("n_short")).otherwise(F.col("n")))
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20)) < (share * (1 << 20)).cast("long") + 1
+    chosen = rows.join(F.broadcast(counts), "lang").where((short | (F.col("n_short") == 0)) & drawn)
+    # four bytes a character at most
+    starts = chosen.select("lang", F.when(short, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_TEXT // 4)).alias("text"))
+    bounded = starts.limit(2 * sample * max(1, counts.count()))
+    return learn(sorted((r.lang, r.text) for r in bounded.collect()))
 
 
 def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
@@ -173,13 +184,20 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or whose score is under ``least``; all columns as they are."""
+    """``docs`` without the rows whose language is ``und`` or whose score is under ``least``; all columns as they are.
+
+    A model of no language can't tell any, so that only null texts and those without a letter go.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = identify(model, batch.column(at).to_pylist())
+            texts = batch.column(at).to_pylist()
+            if not model.langs:
+                yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in texts], pa.bool_()))
+                continue
+            langs, scores = identify(model, texts)
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
