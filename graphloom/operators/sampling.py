@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,20 +122,21 @@ def majority(edges: DataFrame, known: DataFrame) -> DataFrame:
     return top.join(known.select("v"), "v", "left_anti").select("v", F.col("x.b").alias("b"))
 
 
-def extend(edges: DataFrame, vertices: DataFrame, known: DataFrame, num_blocks: int, seed: int, rounds: int = 1) -> DataFrame:
-    """``v, b`` for all ``vertices``: known labels, then the majority of labelled neighbours for up to ``rounds`` waves.
+def extend(edges: DataFrame, vertices: DataFrame, known: DataFrame, num_blocks: int, seed: int, rounds: int | None = 1) -> DataFrame:
+    """``v, b`` for all ``vertices``: known labels, then the majority of labelled neighbours for up to ``rounds`` waves, or until one labels nothing new.
 
-    What is left has no labelled neighbour and is given a block by a seeded hash.
+    What is left has no labelled neighbour, and without a bound on the waves no
+    path to one, and is given a block by a seeded hash.
     """
     labelled = known.select("v", "b")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         more = majority(edges, labelled)
-        if rounds > 1:
+        if rounds != 1:
             more = cut(more)
             if more.isEmpty():
                 break
         labelled = labelled.unionByName(more)
-        if rounds > 1:
+        if rounds != 1:
             labelled = cut(labelled)
     anywhere = F.floor(uniform(seed, F.col("v")) * num_blocks).cast("long")
     return vertices.select("v").join(labelled, "v", "left").select("v", F.coalesce("b", anywhere).alias("b"))

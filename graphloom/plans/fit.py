@@ -299,7 +299,7 @@ def fit(edges: DataFrame, config: Config = Config(), vertices: DataFrame | None
             chosen = sampling.hash_random(kept, wanted, config.seed)
         chosen = cut(chosen)
         found = search_blocks(cut(graph.induced(inner, chosen)), chosen, config)
-        labels = cut(sampling.extend(inner, kept, found.assignment, found.num_blocks, config.seed, rounds=10))
+        labels = cut(sampling.extend(inner, kept, found.assignment, found.num_blocks, config.seed, rounds=None))
     else:
         found = search_blocks(inner, kept, config)
         labels = found.assignment
