@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.numeric import xlnx
+from graphloom.operators.blockmodel import marginals, neighbor_weights
+from graphloom.operators.common import cut
 from graphloom.operators.entropy import merge_delta
-from graphloom.operators.merge import adjacent_pairs, best_merges
+from graphloom.operators.merge import best_merges
 
 
 def concatenated(parts: DataFrame) -> DataFrame:
@@ -19,22 +22,28 @@ def concatenated(parts: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(before), "part").select("v", (F.col("b") + F.col("before")).cast("long").alias("b"))
 
 
-#: Pairs of blocks that are scored one by one.
-CROSS = 20_000_000
-
-
 def cross_merges(matrix: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """``block, into, de``: every block of ``first(b)`` with the best block of ``second(b)`` for it.
 
-    All pairs are scored while there are at most ``CROSS``; with more blocks
-    only those that share an edge are, and a block without any gets none.
+    Pairs that share an edge or a neighbour are scored from their cells.  The
+    change of any other pair depends on the two blocks' degrees and loops alone,
+    so one block, the smallest, stands for all of ``second`` that have the same.
+    For a pair that does share something this is an upper bound, as x ln x is
+    superadditive, so that the least of both is exact.
     """
-    one, two = first.select(F.col("b").alias("block")).distinct(), second.select(F.col("b").alias("into")).distinct()
-    if one.count() * two.count() <= CROSS:
-        candidates = one.crossJoin(two)
-    else:
-        candidates = adjacent_pairs(matrix).join(one, "block", "left_semi").join(two, "into", "left_semi")
-    return best_merges(merge_delta(matrix, candidates))
+    one, two = cut(first.select(F.col("b").alias("block")).distinct()), cut(second.select(F.col("b").alias("into")).distinct())
+    near = cut(neighbor_weights(matrix).where("b <> nb").select("b", "nb").distinct())
+    ours, theirs = near.join(one.toDF("b"), "b", "left_semi").toDF("block", "x"), near.join(two.toDF("b"), "b", "left_semi").toDF("into", "x")
+    adjacent = ours.withColumnRenamed("x", "into").join(two, "into", "left_semi").select("block", "into")
+    related = cut(adjacent.union(ours.join(theirs, "x").select("block", "into")).where("block <> into").distinct())
+
+    ends = marginals(matrix, 1).toDF("b", "o").join(marginals(matrix, 0).toDF("b", "i"), "b", "full")
+    terms = cut(ends.join(matrix.where("r = c").select(F.col("r").alias("b"), F.col("w").alias("s")), "b", "left").na.fill(0))
+    mine = one.join(terms.toDF("block", "o1", "i1", "s1"), "block", "left").na.fill(0)
+    classes = cut(two.join(terms.toDF("into", "o2", "i2", "s2"), "into", "left").na.fill(0).groupBy("o2", "i2", "s2").agg(F.min("into").alias("into")))
+    change = lambda x, y: xlnx(F.col(x) + F.col(y)) - xlnx(F.col(x)) - xlnx(F.col(y))
+    others = mine.crossJoin(classes).where("block <> into").select("block", "into", (change("o1", "o2") + change("i1", "i2") - change("s1", "s2")).alias("de"))
+    return best_merges(best_merges(merge_delta(matrix, related)).unionByName(best_merges(others)))
 
 
 def global_labels(local: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -1,7 +1,12 @@
 """What a bound on the size or on the number of rounds must not change."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from graphloom.operators import combine
+from graphloom.operators.entropy import merge_delta
+from graphloom.operators.merge import best_merges
 from graphloom.plans import fit as fitting
 from graphloom.sources.tables import planted
 
@@ -13,3 +18,15 @@ def test_sampled_labels_reach_the_end_of_a_long_chain(spark):
     labels = {r.v: r.b for r in found.assignment.collect()}
     assert len(set(labels.values())) > 1
     assert {labels[v] for v in range(40, 70)} == {labels[0]}
+
+
+def test_cross_merges_are_the_best_of_all_pairs_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(combine, "CROSS", 0, raising=False)
+    rng = random.Random(4)
+    cells = {(rng.randrange(38), rng.randrange(38)): rng.randint(1, 6) for _ in range(45)} | {(k, k): 3 for k in range(0, 36, 5)}
+    matrix = spark.createDataFrame([(r, c, w) for (r, c), w in cells.items()], "r long, c long, w long").cache()
+    one, two = spark.range(0, 20).toDF("b"), spark.range(20, 40).toDF("b")
+    every = one.toDF("block").crossJoin(two.toDF("into"))
+    want = {r.block: (r.into, round(r.de, 6)) for r in best_merges(merge_delta(matrix, every)).collect()}
+    got = {r.block: (r.into, round(r.de, 6)) for r in combine.cross_merges(matrix, one, two).collect()}
+    assert len(want) == 20 and got == want
