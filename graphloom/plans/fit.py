@@ -61,6 +61,8 @@ class Config:
             raise ValueError(f"no objective {self.objective!r}")
         if not 0 < self.sample_fraction <= 1:
             raise ValueError("sample_fraction is over 0 and at most 1")
+        if self.splitter not in ("random", "snowball"):
+            raise ValueError(f"no splitter {self.splitter!r}")
         if self.num_subgraphs < 1:
             raise ValueError("num_subgraphs is at least 1")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import combine
@@ -30,3 +31,9 @@ def test_cross_merges_are_the_best_of_all_pairs_at_any_size(spark, monkeypatch):
     want = {r.block: (r.into, round(r.de, 6)) for r in best_merges(merge_delta(matrix, every)).collect()}
     got = {r.block: (r.into, round(r.de, 6)) for r in combine.cross_merges(matrix, one, two).collect()}
     assert len(want) == 20 and got == want
+
+
+def test_unknown_splitters_are_refused():
+    for name in ("single_snowball", "connectivity_snowball", ""):
+        with pytest.raises(ValueError):
+            fitting.Config(splitter=name)
