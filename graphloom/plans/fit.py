@@ -199,6 +199,14 @@ def vertex_phase(edges: DataFrame, labels: DataFrame, vertices: int, num_blocks:
     return labels, before, len(changes), total
 
 
+def swept_by_plans(config: Config) -> None:
+    """Refuse what the plans' Gibbs sweeps on the parametric length would pass over; the default ``hybrid_mcmc`` is swept so too."""
+    if config.objective != "parametric":
+        raise ValueError(f"plans fit the parametric objective only, not {config.objective!r}")
+    if config.algorithm == "metropolis_hastings" or config.async_iterations is not None or config.mh_fraction != Config.mh_fraction:
+        raise ValueError("plans make no Metropolis-Hastings moves: metropolis_hastings, async_iterations and mh_fraction are for the kernel")
+
+
 def fit_plans(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bracket: bool = False) -> Fit:
     """The bottom-up search with every phase as plans."""
     mapping = cut(sampling.local_ids(vertices))
@@ -231,11 +239,14 @@ def search_blocks(edges: DataFrame, vertices: DataFrame, config: Config, stop_at
     small = edges.limit(config.local_edges + 1).count() <= config.local_edges and vertices.limit(config.local_edges + 1).count() <= config.local_edges
     if not small and config.objective == "nonparametric":
         raise ValueError(f"the nonparametric objective is fitted on at most {config.local_edges} edges")
+    if not small:
+        swept_by_plans(config)
     return (fit_local if small else fit_plans)(edges, vertices, config, stop_at_bracket)
 
 
 def fit_top_down(edges: DataFrame, vertices: DataFrame, config: Config) -> Fit:
     """The divisive search: split, sweep, bracket.  All phases are plans."""
+    swept_by_plans(config)
     labels = cut(vertices.select("v", F.lit(0).cast("long").alias("b")))
     number = vertices.count()
     initial = length_of(bm.block_matrix(edges, labels), number, 1)
@@ -316,6 +327,7 @@ def divide_and_conquer(edges: DataFrame, parts: int, config: Config = Config())
     """Fit ``parts`` subgraphs, bring their labels together, merge across parts and refine on the whole graph."""
     if parts < 1:
         raise ValueError("parts is at least 1")
+    swept_by_plans(config)
     whole = prepared(edges, config)
     every = cut(graph.endpoints(whole).select("v").distinct())
     if config.subgraph_partition == "snowball":

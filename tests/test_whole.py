@@ -37,3 +37,14 @@ def test_unknown_splitters_are_refused():
     for name in ("single_snowball", "connectivity_snowball", ""):
         with pytest.raises(ValueError):
             fitting.Config(splitter=name)
+
+
+@pytest.mark.parametrize("options", [{"algorithm": "metropolis_hastings"}, {"async_iterations": 2}, {"mh_fraction": 0.5}, {"objective": "nonparametric"}])
+def test_options_that_plans_would_pass_over_are_refused(spark, options):
+    edges, truth = planted(spark, 40, 2, 8, 0.9, 3)
+    with pytest.raises(ValueError):
+        fitting.fit(edges, fitting.Config(local_edges=0, **options))
+    with pytest.raises(ValueError):
+        fitting.fit_top_down(edges, truth.select("v"), fitting.Config(**options))
+    with pytest.raises(ValueError):
+        fitting.divide_and_conquer(edges, 2, fitting.Config(**options))
