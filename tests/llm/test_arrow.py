@@ -176,6 +176,55 @@ def test_pages_odd_rows(spark):
     assert html.extract_pages(frame.limit(0), html.fit_html(frame.limit(0))).count() == 0
 
 
+def _learned(sf, sample=150):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist()
+    return html.learn(pages[:sample]), pages
+
+
+def test_learned_weights_find_articles_that_nothing_marks_or_names(sf):
+    import html as entities
+    import re
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    weights, pages = _learned(sf)
+    constant = html.Weights({"plain": 1.0, "link": 0.0}, {}, -0.5)
+    right = dict.fromkeys(("learned", "constant"), 0)
+    held_out = pages[150:]
+    for page in held_out:
+        inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        want = " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+        bare = re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", re.sub(r' class="[^"]*"', "", page))
+        right["learned"] += html.extract(bare, weights) == want
+        right["constant"] += html.extract(bare, constant) == want
+    assert right["learned"] >= 0.95 * len(held_out) and right["constant"] < 0.5 * len(held_out)
+    assert weights.words["plain"] > 0 and all(w < 0 for w in weights.tags.values())
+
+
+def test_names_that_only_contain_another_elements_word(sf):
+    weights, _ = _learned(sf)
+    page = "<body><nav><a href=/>home</a></nav><main><h2 id='the-search-for-life'>The search for life</h2><p>It goes on and on.</p><section id='legal-history'><p>A long legal history is told here.</p></section></main><footer>end</footer></body>"
+    assert html.extract(page, weights) == "The search for life It goes on and on. A long legal history is told here."
+    shared = "<body><div class='entry-content share-enabled'><p>A story of many words that goes on for a while.</p><p>And some more of it.</p></div><div class='other'>One line.</div><div class='share-buttons'><p>Share this now with all of your friends and relatives everywhere please</p></div></body>"
+    assert html.extract(shared, weights) == "A story of many words that goes on for a while. And some more of it."
+
+
+def test_every_marked_article_stays(sf):
+    weights, _ = _learned(sf)
+    page = "<body><div>An advert of some words</div><article><p>The first article has some words.</p></article><div>Between them an advert</div><article><p>The second one has other words.</p></article><ol class='comment-list'><li><article class='comment'><p>I liked both of them very much indeed.</p></article></li></ol></body>"
+    assert html.extract(page, weights) == "The first article has some words. The second one has other words."
+
+
+def test_long_pages_and_ties(sf):
+    weights, _ = _learned(sf)
+    words = "some words of a paragraph. " * 40
+    page = "<body><nav><a href=/>home</a></nav><article>" + f"<p>{words}</p>" * 4000 + "</article><footer>end</footer></body>"
+    assert html.extract(page, weights) == " ".join((words * 4000).split())
+    twice = "<body><div><div><p>one region of words</p></div></div><hr><div><div><p>two region of words</p></div></div></body>"
+    assert html.extract(twice, html.Weights({"plain": 1.0, "link": 0.0}, {"hr": -99.0}, -1.0)) == "one region of words"
+
+
 # packing
 
 
