@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +56,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def constants(values: Iterable) -> Column:
+    """An array of numbers, texts or named tuples, given to Spark as one piece of SQL: a call for each value would take seconds for a few hundred."""
+
+    def sql(x) -> str:
+        if isinstance(x, tuple):
+            return "named_struct(" + ", ".join(f"'{k}', {sql(v)}" for k, v in x._asdict().items()) + ")"
+        if isinstance(x, str):
+            return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{float(x)!r}D" if isinstance(x, float) else str(x)
+
+    return F.expr(f"array({', '.join(map(sql, values))})")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -20,8 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import let, spaced_words, table
-from graphloom.llm.spans import find_all
+from graphloom.llm.common import constants, let, spaced_words, table
+from graphloom.llm.spans import BLOCK, blocks, find_all, piece, running
 
 #: The base: label and phrase.  The places of these phrases are counted in every text.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
@@ -192,17 +192,16 @@ def rules() -> list[Rule]:
     return [Rule(k, *x) for k, x in enumerate(sorted(made, key=lambda x: x[0]))]
 
 
-_FOUND = "array<struct<start:int,end:int,priority:int,rule:int,label:string,score:double>>"
-
-
-def _rule_table() -> Column:
-    return F.array(*[F.struct(F.lit(r.rule).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.anchor).alias("anchor"), F.lit(r.pattern).alias("pattern")) for r in rules()])
+_ROW = "struct<start:int,end:int,priority:int,rule:int,label:string,score:double>"
+_FOUND = f"array<{_ROW}>"
+_BASE = "array<struct<word:bigint,label:string>>"
+_PLACED = "array<struct<start:bigint,end:bigint,priority:int,rule:int,label:string,score:double>>"
 
 
 def _detections(spaced: Column) -> Column:
     """All rules' matches in ``spaced``, by start, longest first, then by priority and rule."""
     padded = F.concat(F.lit(" "), spaced, F.lit(" "))
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules()})])
+    keywords = constants(sorted({r.keyword for r in rules()}))
 
     def some(words: tuple[str, ...]) -> Column:
         out = F.lit(not words)
@@ -211,7 +210,7 @@ def _detections(spaced: Column) -> Column:
         return out
 
     gates = F.struct(F.filter(keywords, lambda k: F.contains(padded, F.concat(F.lit(" "), k))).alias("keywords"), F.array(*map(some, ANCHORS.values())).alias("anchors"))
-    tried = let(gates, lambda g: F.filter(_rule_table(), lambda r: F.get(g["anchors"], r["anchor"]) & F.array_contains(g["keywords"], r["keyword"])))
+    tried = let(gates, lambda g: F.filter(constants(rules()), lambda r: F.get(g["anchors"], r["anchor"]) & F.array_contains(g["keywords"], r["keyword"])))
     found = F.transform(
         tried,
         lambda r: F.transform(
@@ -231,17 +230,17 @@ def _unsuppressed(found: Column) -> Column:
     In the order of ``_detections`` whatever contains a detection stands before
     it, so the furthest end for each priority so far is all there is to know.
     """
-    levels = sorted({t[0] for t in TEMPLATES})
+    levels = sorted({r.priority for r in rules()})
 
-    def step(state: Column, d: Column) -> Column:
+    def step(state: Column, d: Column) -> tuple[Column, Column]:
         inside = F.lit(False)
         for p in levels:
             inside = inside | ((d["priority"] >= p) & (state[f"e{p}"] >= d["end"]))
-        ends = [F.when(d["priority"] == p, F.greatest(state[f"e{p}"], d["end"])).otherwise(state[f"e{p}"]).alias(f"e{p}") for p in levels]
-        return F.struct(*ends, F.when(inside, state["out"]).otherwise(F.concat(state["out"], F.array(d))).alias("out"))
+        ends = F.struct(*[F.when(d["priority"] == p, F.greatest(state[f"e{p}"], d["end"])).otherwise(state[f"e{p}"]).alias(f"e{p}") for p in levels])
+        return ends, F.when(~inside, d)
 
-    start = F.struct(*[F.lit(-1).alias(f"e{p}") for p in levels], F.array().cast(_FOUND).alias("out"))
-    return F.aggregate(found, start, step, lambda s: s["out"])
+    start = F.struct(*[F.lit(-1).alias(f"e{p}") for p in levels])
+    return F.filter(running(found, start, _ROW, step), lambda d: d.isNotNull())
 
 
 def _any_keyword(spaced: Column) -> Column:
@@ -263,28 +262,37 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), spaced_words(F.col(text_col).cast("string")).alias("s"))
 
-    def words_before(s: Column, at: Column) -> Column:
-        before = F.substring(s, F.lit(1), at)
-        return (F.length(before) - F.length(F.translate(before, " ", ""))).cast("long")
+    def spaces(x: Column) -> Column:
+        return (F.length(x) - F.length(F.translate(x, " ", ""))).cast("long")
 
-    def of(s: Column) -> Column:
-        spaces = F.length(s) - F.length(F.translate(s, " ", ""))
+    def words_before(held: Column, at: Column) -> Column:
+        block = F.floor(at / BLOCK).cast("int")
+        return F.get(held["before"], block) + spaces(F.substring(F.get(held["blocks"], block), F.lit(1), at - block * BLOCK))
+
+    def places(s: Column, held: Column) -> Column:
         base = F.when(
             F.contains(s, F.lit(" license")),
             F.transform(
                 find_all(s, BASE_FORM),
-                lambda m: F.struct(words_before(s, m["start"]).alias("word"), F.when(F.startswith(m["value"], F.lit("mit")), "mit").when(F.startswith(m["value"], F.lit("apache")), "apache").otherwise("gpl").alias("label")),
+                lambda m: F.struct(words_before(held, m["start"]).alias("word"), F.when(F.startswith(m["value"], F.lit("mit")), "mit").when(F.startswith(m["value"], F.lit("apache")), "apache").otherwise("gpl").alias("label")),
             ),
-        ).otherwise(F.array().cast("array<struct<word:bigint,label:string>>"))
+        ).otherwise(F.array().cast(_BASE))
         found = F.when(_any_keyword(s), _unsuppressed(_detections(s))).otherwise(F.array().cast(_FOUND))
         placed = F.transform(
             found,
             lambda d: let(
-                words_before(s, d["start"]),
-                lambda w: F.struct(w.alias("start"), (w + words_before(F.substring(s, d["start"] + 1, d["end"] - d["start"]), d["end"] - d["start"]) + 1).alias("end"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"), d["score"].alias("score")),
+                words_before(held, d["start"]),
+                lambda w: F.struct(w.alias("start"), (w + spaces(piece(held["blocks"], d["start"], d["end"] - d["start"])) + 1).alias("end"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"), d["score"].alias("score")),
             ),
         )
-        return F.struct(F.when(s == "", F.lit(0)).otherwise(spaces + 1).cast("long").alias("n_words"), base.alias("base"), placed.alias("found"))
+        return F.struct(base.alias("base"), placed.alias("found"))
+
+    def of(s: Column) -> Column:
+        n_words = F.when(s == "", F.lit(0)).otherwise(spaces(s) + 1).cast("long")
+        held = let(blocks(s), lambda b: F.struct(b.alias("blocks"), running(b, F.lit(0).cast("long"), "bigint", lambda n, x: (n + spaces(x), n)).alias("before")))
+        some = F.contains(s, F.lit(" license")) | _any_keyword(s)
+        none = F.struct(F.array().cast(_BASE).alias("base"), F.array().cast(_PLACED).alias("found"))
+        return let(F.when(some, let(held, lambda h: places(s, h))).otherwise(none), lambda x: F.struct(n_words.alias("n_words"), x["base"].alias("base"), x["found"].alias("found")))
 
     return texts.select("doc_id", let(F.col("s"), of).alias("x")).select("doc_id", "x.n_words", "x.base", "x.found")
 

@@ -4,14 +4,16 @@ Candidates come from strict and loose patterns.  Six labelers (pattern,
 checksum, gazetteer, context, boundary, shape) each vote for, against or
 abstain on every candidate.  Expectation-maximisation over the votes of the
 whole corpus estimates how reliable each labeler is and how likely each
-candidate is real; a logistic span classifier is then trained on those
-likelihoods and scores every candidate.
+candidate is real.  A logistic span classifier is then trained on those
+likelihoods.  Besides the votes it sees what no labeler looked at: the word
+before the candidate, the kinds of the characters on both its sides, its form
+with runs of digits and letters collapsed, and its length.
 
-Votes are few and discrete, so the corpus is reduced by one aggregation to
-counts of distinct vote rows (at most 3^6 for each kind and length class),
-whatever its size; both fits work on these counts.  The classifier is applied
-as a column expression.  Strict matches that pass their checks are the base and
-are always spans; the classifier decides on all other candidates.
+Votes and features are few and discrete, so the corpus is reduced by one
+aggregation to counts of distinct rows of them, whatever its size; both fits
+work on these counts.  The classifier is applied as a column expression.
+Strict matches that pass their checks are the base and are always spans; the
+classifier decides on all other candidates.
 
 Style: DataFrame functions only; two passes over the text and no shuffle but
 that of the counts.
@@ -20,13 +22,15 @@ that of the counts.
 from __future__ import annotations
 
 import math
+from functools import cache
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import let, table
-from graphloom.llm.spans import find_all
+from graphloom.llm.common import constants, let, table
+from graphloom.llm.spans import blocks, find_all, piece, running
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -63,7 +67,16 @@ RESERVED_IP = r"^(?:0|22[4-9]|2[34][0-9]|25[0-5])\."
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "boundary", "shape")
 BEFORE = 40
 
-_CANDIDATES = "array<struct<kind:int,start:int,end:int,value:string,base:boolean,votes:struct<" + ",".join(f"{x}:int" for x in LABELERS) + ">,size:int>>"
+#: What the classifier alone sees, and how many values each has.  Words before a candidate (0: none, 1: any other word):
+WORDS = (
+    "", "*", "is", "at", "to", "on", "or", "from", "by", "of", "the", "my", "me", "us", "ip", "id", "no", "nr", "tel", "call", "phone", "mobile", "fax", "cell", "number", "mail", "email", "contact", "reach", "write", "card",
+    "visa", "pay", "account", "server", "host", "address", "version", "release", "order", "invoice", "serial", "isbn", "code", "section", "and", "an", "auf", "von", "bei", "de", "du", "le", "la", "el", "al",
+)
+#: Forms: runs of digits are 9, of letters a (0: any other).
+FORMS = ("*", "a@a.a", "a.a@a.a", "a9@a.a", "a@a.a.a", "a [at] a [dot] a", "9.9.9.9", "9:9:9:9:9:9:9:9", "9", "9 9 9 9", "9-9-9-9", "9.9.9.9", "9 9 9", "9-9-9", "9.9.9", "(9) 9-9", "+9 9 9", "+9 9 9 9", "+9 (9) 9-9", "+9-9-9-9", "+9")
+FEATURES = {"size": 5, "word": len(WORDS), "sides": 16, "form": len(FORMS)}
+
+_CANDIDATES = "array<struct<kind:int,start:int,end:int,value:string,base:boolean,votes:struct<" + ",".join(f"{x}:int" for x in LABELERS) + ">," + ",".join(f"{x}:int" for x in FEATURES) + ">>"
 
 
 def _digits(value: Column) -> Column:
@@ -97,11 +110,9 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(kind: str, text: Column, m: Column, strict: bool, base: Column) -> Column:
+def _votes(kind: str, m: Column, left: Column, sides: Column, strict: Column, base: Column) -> Column:
     value, digits = m["value"], _digits(m["value"])
-    left = F.lower(F.substring(text, F.greatest(m["start"] - BEFORE, F.lit(0)) + 1, F.least(m["start"], F.lit(BEFORE))))
-    sides = F.concat(F.substring(text, m["start"], F.when(m["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substring(text, m["end"] + 1, F.lit(1)))
-    plain, never = F.lit(False), F.lit(False)
+    plain = F.lit(False)
     if kind == "email":
         checksum = (F.length(value) <= 254, F.length(value) > 254)
         gazetteer = (F.lower(F.regexp_extract(value, r"([A-Za-z]+)[^A-Za-z]*$", 1)).isin(*TLDS), plain)
@@ -121,7 +132,7 @@ def _votes(kind: str, text: Column, m: Column, strict: bool, base: Column) -> Co
         shape = (value.rlike(r"[ ().-][0-9]{2,4}[ .-][0-9]{2,4}"), digits.rlike(r"^([0-9])\1+$"))
     yes, no = CONTEXT[kind]
     given = {
-        "pattern": _vote(base, never if strict else F.lit(True)),
+        "pattern": _vote(base, ~strict),
         "checksum": _vote(*checksum),
         "gazetteer": _vote(*gazetteer),
         "context": _vote(left.rlike(yes), left.rlike(no)),
@@ -131,51 +142,90 @@ def _votes(kind: str, text: Column, m: Column, strict: bool, base: Column) -> Co
     return F.struct(*[given[x].cast("int").alias(x) for x in LABELERS])
 
 
-def _candidates(kind: str, text: Column, matches: Column, strict: bool) -> Column:
+def _side(char: Column) -> Column:
+    """0: none or white space, 1: a letter or digit, 2: an opening or closing sign, 3: any other sign."""
+    return F.when(char.rlike(r"[\p{L}\p{N}]"), 1).when(char.rlike(r"[\[\](){}<>\"']"), 2).when(char.rlike(r"[^\s]"), 3).otherwise(0)
+
+
+def _position(value: Column, known: tuple[str, ...], other: Column) -> Column:
+    return let(F.array_position(constants(known), value).cast("int"), lambda at: F.when(at > 0, at - 1).otherwise(other))
+
+
+def _candidates(kind: str, held: Column, matches: Column) -> Column:
+    """Candidates from ``matches`` with their ``strict``: whether they are of the base's form."""
     number = KINDS.index(kind)
 
     def of(m: Column) -> Column:
+        around = F.struct(
+            F.lower(piece(held, F.greatest(m["start"] - BEFORE, F.lit(0)), F.least(m["start"], F.lit(BEFORE)))).alias("left"),
+            piece(held, m["start"] - 1, F.when(m["start"] > 0, 1).otherwise(0)).alias("before"),
+            piece(held, m["end"], F.lit(1)).alias("after"),
+            (m["strict"] & _passes(kind, m["value"])).alias("base"),
+        )
         return let(
-            _passes(kind, m["value"]) if strict else F.lit(False),
-            lambda base: F.struct(
-                F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), base.alias("base"),
-                _votes(kind, text, m, strict, base).alias("votes"), F.least(F.length(m["value"]).cast("int").bitwiseAND(~7), F.lit(32)).alias("size"),
+            around,
+            lambda x: F.struct(
+                F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), x["base"].alias("base"),
+                _votes(kind, m, x["left"], F.concat(x["before"], F.lit(" "), x["after"]), m["strict"], x["base"]).alias("votes"),
+                F.least(F.floor(F.length(m["value"]) / 8), F.lit(4)).cast("int").alias("size"),
+                _position(F.regexp_extract(x["left"], r"(\p{L}*)[^\p{L}]*$", 1), WORDS, F.lit(1)).alias("word"),
+                (_side(x["before"]) * 4 + _side(x["after"])).alias("sides"),
+                _position(F.regexp_replace(F.regexp_replace(m["value"], "[A-Za-z]+", "a"), "[0-9]+", "9"), FORMS, F.lit(0)).alias("form"),
             ),
         )
 
     return F.transform(matches, of).cast(_CANDIDATES)
 
 
+def _flagged(matches: Column, strict: bool) -> Column:
+    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.lit(strict).alias("strict")))
+
+
 def _all_candidates(text: Column) -> Column:
     """Strict and loose candidates of every kind, by kind and start."""
     strict = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     empty = F.array().cast(_CANDIDATES)
-    parts = []
-    for kind in KINDS:
-        form = strict[kind]
-        matches = find_all(text, form)
-        if kind == "card":  # a lone digit run of another length is no candidate
-            matches = F.filter(matches, lambda m: F.length(_digits(m["value"])).between(13, 19))
-        both = F.concat(_candidates(kind, text, matches, True), _candidates(kind, text, find_all(text, LOOSE[kind]), False))
-        parts.append(F.when(text.rlike(GATES[kind]), both).otherwise(empty))
-    return F.when(text.rlike(r"[0-9@\[({]"), F.concat(*parts)).otherwise(empty)
+
+    def found(gates: Column, held: Column) -> Column:
+        parts = []
+        for kind in KINDS:
+            matches = find_all(text, strict[kind])
+            if kind == "card":  # a lone digit run of another length is no candidate
+                matches = F.filter(matches, lambda m: F.length(_digits(m["value"])).between(13, 19))
+            both = F.concat(_flagged(matches, True), _flagged(find_all(text, LOOSE[kind]), False))
+            parts.append(F.when(gates[kind], _candidates(kind, held, both)).otherwise(empty))
+        return F.concat(*parts)
+
+    def gated(gates: Column) -> Column:
+        return F.when(gates["email"] | gates["ip"] | gates["card"] | gates["phone"], let(blocks(text), lambda held: found(gates, held))).otherwise(empty)
+
+    return F.when(text.rlike(r"[0-9@\[({]"), let(F.struct(*[text.rlike(GATES[k]).alias(k) for k in KINDS]), gated)).otherwise(empty)
+
+
+@cache
+def _candidates_in(text_col: str, context: str) -> Column:
+    """All candidates of a column; building the expression takes seconds, so it is kept for as long as the Spark context lives."""
+    return let(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), _all_candidates)
+
+
+def _context(docs: DataFrame) -> str:
+    return docs.sparkSession.sparkContext.applicationId
 
 
 class Model(NamedTuple):
-    """Weights of the span classifier: a bias for each kind and for each length class, and one weight for each labeler and vote."""
+    """The span classifier: a bias for each kind, a weight for each labeler's vote, and one for each kind and value of a feature; and the labelers' vote distributions."""
 
-    kinds: dict[int, float]
-    sizes: dict[int, float]
-    votes: dict[tuple[str, int], float]
+    kinds: np.ndarray
+    votes: np.ndarray  # labeler, vote + 1
+    features: dict[str, np.ndarray]  # kind, value
     reliability: dict[str, dict[int, tuple[float, float]]]
 
 
 def vote_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``kind, size, votes..., n``: how often each distinct vote row occurs in the corpus."""
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    each = texts.select(F.explode(_all_candidates(F.col("t"))).alias("c"))
-    keys = [F.col("c.kind").alias("kind"), F.col("c.size").alias("size"), *[F.col(f"c.votes.{x}").alias(x) for x in LABELERS]]
-    return each.select(*keys).groupBy("kind", "size", *LABELERS).agg(F.count("*").alias("n"))
+    """``kind, votes..., features..., n``: how often each distinct row of votes and features occurs in the corpus."""
+    each = docs.select(F.explode(_candidates_in(text_col, _context(docs))).alias("c"))
+    keys = [F.col("c.kind").alias("kind"), *[F.col(f"c.votes.{x}").alias(x) for x in LABELERS], *[F.col(f"c.{x}").alias(x) for x in FEATURES]]
+    return each.select(*keys).groupBy("kind", *LABELERS, *FEATURES).agg(F.count("*").alias("n"))
 
 
 def estimate(rows: list[dict], rounds: int = 60) -> tuple[list[float], dict]:
@@ -211,30 +261,37 @@ def estimate(rows: list[dict], rounds: int = 60) -> tuple[list[float], dict]:
 
 
 def fit(counts: list[dict], steps: int = 300) -> Model:
-    """EM, then a logistic classifier on its likelihoods by gradient steps with a diagonal scale; no rows give neutral weights."""
-    counts = sorted(counts, key=lambda r: (r["kind"], r["size"], *[r[x] for x in LABELERS]))
-    real, table = estimate(counts)
-    kinds = {k: 0.0 for k in range(len(KINDS))}
-    sizes = {s: 0.0 for s in range(0, 40, 8)}
-    votes = {(x, v): 0.0 for x in LABELERS for v in (-1, 1)}
-    total = sum(r["n"] for r in counts) or 1
-    names = [[(kinds, r["kind"]), (sizes, r["size"]), *[(votes, (x, r[x])) for x in LABELERS if r[x]]] for r in counts]
-    mass: dict = {}
-    for r, used in zip(counts, names, strict=True):
-        for weights, key in used:
-            mass[id(weights), key] = mass.get((id(weights), key), 0.0) + r["n"] / total
-    for _ in range(steps):
-        slope: dict = {}
-        for r, p, used in zip(counts, real, names, strict=True):
-            z = sum(weights[key] for weights, key in used)
-            off = r["n"] / total * (1 / (1 + math.exp(-min(30.0, max(-30.0, z)))) - p)
-            for weights, key in used:
-                slope[id(weights), key] = slope.get((id(weights), key), 0.0) + off
-        for weights in (kinds, sizes, votes):
-            for key in weights:
-                if (at := (id(weights), key)) in slope:
-                    weights[key] -= slope[at] / (mass[at] + 1e-3) + 1e-3 * weights[key]
-    return Model(kinds, sizes, votes, table)
+    """EM on the distinct votes, then a logistic classifier of votes and features on its likelihoods; no rows give neutral weights.
+
+    Gradient steps are scaled by how often a weight is used; weights shrink a
+    little in each, those of features more than those of votes.
+    """
+    names = ("kind", *LABELERS)
+    totals: dict[tuple, int] = {}
+    for r in counts:
+        key = tuple(r[x] for x in names)
+        totals[key] = totals.get(key, 0) + r["n"]
+    votes = [dict(zip(names, key, strict=True)) | {"n": n} for key, n in sorted(totals.items())]
+    real, table = estimate(votes)
+    likely = {tuple(r[x] for x in names): p for r, p in zip(votes, real, strict=True)}
+
+    rows = sorted(counts, key=lambda r: tuple(r[x] for x in (*names, *FEATURES)))
+    sizes = [len(KINDS), *[3] * len(LABELERS), *[len(KINDS) * n for n in FEATURES.values()]]
+    starts = np.cumsum([0, *sizes])
+    weights = np.zeros(starts[-1])
+    if rows:
+        at = np.array([[r["kind"], *[r[x] + 1 for x in LABELERS], *[r["kind"] * n + r[x] for x, n in FEATURES.items()]] for r in rows]) + starts[:-1]
+        n = np.array([r["n"] for r in rows], float)
+        n /= n.sum()
+        goal = np.array([likely[tuple(r[x] for x in names)] for r in rows])
+        mass = np.bincount(at.ravel(), np.repeat(n, at.shape[1]), minlength=len(weights)) * at.shape[1]
+        shrink = np.where(np.arange(len(weights)) < starts[1 + len(LABELERS)], 1e-3, 5e-3)
+        for _ in range(steps):
+            off = n * (1 / (1 + np.exp(-np.clip(weights[at].sum(axis=1), -30, 30))) - goal)
+            slope = np.bincount(at.ravel(), np.repeat(off, at.shape[1]), minlength=len(weights))
+            weights -= 4 * slope / (mass + 1e-4) + shrink * weights
+    parts = [weights[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+    return Model(parts[0], np.array(parts[1 : 1 + len(LABELERS)]), {x: w.reshape(len(KINDS), -1) for x, w in zip(FEATURES, parts[1 + len(LABELERS) :], strict=True)}, table)
 
 
 def fit_pii(docs: DataFrame, text_col: str = "text") -> Model:
@@ -243,59 +300,81 @@ def fit_pii(docs: DataFrame, text_col: str = "text") -> Model:
 
 
 def _score(model: Model, c: Column) -> Column:
-    def lookup(value: Column, weights: dict) -> Column:
-        out = F.lit(0.0)
-        for key, w in weights.items():
-            out = F.when(value == key, F.lit(float(w))).otherwise(out)
-        return out
-
-    z = lookup(c["kind"], model.kinds) + lookup(c["size"], model.sizes)
-    for x in LABELERS:
-        z = z + lookup(c["votes"][x], {v: model.votes[x, v] for v in (-1, 1)})
+    def weight(place: Column, weights: np.ndarray) -> Column:
+        return F.get(constants(map(float, weights.ravel())), place)
+
+    z = weight(c["kind"], model.kinds)
+    for k, x in enumerate(LABELERS):
+        z = z + weight(c["votes"][x] + 1, model.votes[k])
+    for x, n in FEATURES.items():
+        z = z + weight(c["kind"] * n + c[x], model.features[x])
     return 1 / (1 + F.exp(-z))
 
 
+SPAN = "struct<kind:int,start:int,end:int,base:boolean,score:double>"
+
+
+def _beside_base(spans: Column, reverse: bool) -> Column:
+    """``spans``, sorted, without those beyond the base that overlap a base span of their kind before them, or after them if ``reverse``."""
+
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
+        same = state["kind"] == s["kind"]
+        edge = s["start"] if reverse else s["end"]
+        reach = F.least(state["edge"], edge) if reverse else F.greatest(state["edge"], edge)
+        met = same & ((state["edge"] < s["end"]) if reverse else (state["edge"] > s["start"]))
+        after = F.when(s["base"], F.struct(s["kind"].alias("kind"), F.when(same, reach).otherwise(edge).alias("edge"))).otherwise(state)
+        return after, F.when(s["base"] | ~met, s)
+
+    start = F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("edge"))
+    kept = F.filter(running(F.reverse(spans) if reverse else spans, start, SPAN, step), lambda s: s.isNotNull())
+    return F.reverse(kept) if reverse else kept
+
+
 def find_pii(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> Column:
     """The spans of ``text_col`` as an array of kind, start, end, base, score, by kind and start.
 
     Base spans are always there; other candidates need a score of
-    ``threshold`` and no overlap with a base span of their kind.  Null and
-    empty texts have none.
+    ``threshold`` and no overlap with a base span of their kind.  Null, empty
+    and very short texts have none.  Whole texts are read, in time that grows
+    with their length.  Repeated rows have the same spans, an empty table has
+    none, and no other column is read.
     """
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
     def chosen(all_found: Column) -> Column:
-        base = F.filter(all_found, lambda c: c["base"])
-        more = F.filter(all_found, lambda c: ~c["base"] & (_score(model, c) >= threshold))
-        free = F.filter(more, lambda c: ~F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        both = F.transform(F.concat(base, free), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), _score(model, c).alias("score")))
-        return F.array_sort(both)
+        scored = F.transform(all_found, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), _score(model, c).alias("score")))
+        wanted = F.filter(scored, lambda s: s["base"] | (s["score"] >= threshold))
+        ordered = F.array_sort(F.transform(wanted, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (~s["base"]).alias("more"), s["end"].alias("end"), s["score"].alias("score"))))
+        spans = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (~s["more"]).alias("base"), s["score"].alias("score")))
+        return let(spans, lambda x: F.when(F.exists(x, lambda s: ~s["base"]), _beside_base(_beside_base(x, False), True)).otherwise(x))
 
-    return let(text, lambda t: let(_all_candidates(t), chosen))
+    return let(_candidates_in(text_col, _context(docs)), chosen)
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by its kind in angle brackets; all columns stay.
+    """``docs`` with every span of ``text_col`` replaced by its kind in angle brackets; all columns stay, whatever their names.
 
     Spans of two kinds that overlap are replaced as one, by the kind that
-    starts first.  Null texts stay null.
+    starts first.  Null texts stay null, texts without spans (empty ones too)
+    as they are; repeated rows stay repeated, and an empty table stays empty.
     """
     text = docs[text_col]
     by_place = F.array_sort(F.transform(find_pii(docs, model, text_col), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.when(s["start"] < state["at"], "").otherwise(F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.get(names, s["kind"])))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
+    def rebuilt(spans: Column, held: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            part = F.when(s["start"] < at, "").otherwise(F.concat(piece(held, at, s["start"] - at), F.get(names, s["kind"])))
+            return F.greatest(at, s["end"]), part
 
-    def rebuilt(spans: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(running(spans, F.lit(0), "string", step), ""), piece(held, last, F.length(text) - last))
 
-    return docs.withColumn(text_col, F.when(text.isNotNull(), let(by_place, rebuilt)))
+    clean = let(by_place, lambda spans: F.when(F.size(spans) == 0, text).otherwise(let(blocks(text), lambda held: rebuilt(spans, held))))
+    return docs.withColumn(text_col, F.when(text.isNotNull(), clean))
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
+    """``find_pii`` over all of ``documents``, with a model of all of them, as counts and lists of spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_pii(docs)
     found = docs.select("doc_id", find_pii(docs, model).alias("s"))
