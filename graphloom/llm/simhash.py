@@ -11,6 +11,8 @@ What leaves a key's group is a spanning forest of its verified links, not its
 pairs: a group of k fingerprints gives at most k - 1 edges, and the components
 are the same.  Equal fingerprints are one node from the start.
 
+``similar`` has the same search for a similarity instead of a radius.
+
 Style: Arrow batches.  Counting 64 bits over every shingle is numpy's work;
 grouping, joining and the components are DataFrame operations.
 """
@@ -60,18 +62,23 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
+            *keys, texts = batch.columns
             prints = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.record_batch([ids, pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([*keys, pa.array(prints.view(np.int64))], names=["doc_id", "one", "two", "fp"])
 
     return run
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, one, two, text)``: every row's id and text, and two hashes of the text that tell rows of one id apart."""
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp bigint)`` of every row; null texts have fingerprint 0."""
+    """``(doc_id, one, two, fp bigint)`` of every row, with the hashes of ``keyed``; null texts have fingerprint 0."""
     small_batches(docs.sparkSession)
-    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return few.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(_fingerprints(shingle), "doc_id long, one long, two long, fp long")
 
 
 def _probes(fp: Column, table: int) -> Column:
@@ -158,7 +165,8 @@ def _linker(radius: int):
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all links among distinct ``prints.fp``.
 
-    ``radius`` may be 0 to 3: with two segments a ball of radius 1 finds every pair up to 3 bits apart.
+    ``radius`` may be 0 to 3: with two segments a ball of radius 1 finds every
+    pair up to 3 bits apart.  For a wider search see ``similar.links``.
     """
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius 1 cover at most 3 differing bits")
@@ -167,18 +175,24 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return probes.repartition("key").sortWithinPartitions("key", F.desc("stored")).mapInArrow(_linker(radius), "a long, b long")
 
 
+def first_row() -> Column:
+    """The least of a group's rows, by id, those without one last, then by the text's hashes."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "one", "two"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
     Texts are lower-cased in A-Z and cut at ASCII white space; null, empty and
     wordless texts have fingerprint zero, which links like any other.  A text
-    of fewer than ``shingle`` words is one shingle.  ``component_id`` is the
-    smallest id of the component; null ids are passed over for it, and a
-    component without any other id has null.  Repeated rows and repeated ids
-    each give their row.  Other columns of ``docs`` are not read.
+    of fewer than ``shingle`` words is one shingle, and of a long one all are
+    read.  ``component_id`` is the smallest id of the component; null ids are
+    passed over for it, and a component without any other id has null.
+    Repeated rows and repeated ids each give their row, an empty table gives
+    none.  Other columns of ``docs`` are not read.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    prints = cut(fingerprints(docs, id_col, text_col, shingle).select("doc_id", "fp"))
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     members = connected_components(links(reps, radius)).withColumnRenamed("node", "fp")
     least = cut(members.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("least")))
     linked = members.join(least, "root").select("fp", "least")
@@ -187,29 +201,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_least(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each of ``components(doc_id, component_id)``, that with the smallest id; all columns as they are.
+def winners(reps: DataFrame, members: DataFrame) -> DataFrame:
+    """The least row of each component, from ``reps(node, first)`` (the least row of each node) and ``members(node, root)``."""
+    joined = reps.select("node", "first").join(members, "node", "left")
+    return joined.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.one", "first.two")
 
-    Rows of one id and one text are one document, and one of them stays.  Rows
-    without an id can't be told apart by it: all of them with distinct texts
-    stay if one's component has no id at all, else all go.  The texts are
-    shuffled once, by id; nothing is collected.
+
+def keep_rows(docs: DataFrame, prints: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``kept(doc_id, one, two)`` names, all columns as they are.
+
+    A row is known by its id and its text's hashes, so another text of the same
+    id, or another row without an id, doesn't come back with it; of rows that
+    repeat both, one stays.  ``prints`` holds the same three columns of every
+    row.  The texts are shuffled once; nothing is collected.
     """
-    found = cut(components.select("doc_id", "component_id"))
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    winners = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
-    # a merge join at every size: the winners grow with the input, and an id of many rows can be split
-    kept = rows.join(winners.hint("merge"), F.col("id").eqNullSafe(F.col("winner")), "left_semi")
-    if repeated:
-        kept = kept.withColumn("text_hash", F.sha2(F.col(f"row.`{text_col}`").cast("binary"), 256)).dropDuplicates(["id", "text_hash"])
-    return kept.select("row.*")
+    names = ["doc_id", "one", "two"]
+    chosen = cut(kept.select(*[F.col(c).alias(f"_{c}") for c in names]))
+    repeated = not prints.groupBy(*names).count().where("count > 1").isEmpty()
+    text = F.col(f"`{text_col}`").cast("binary")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"))
+    # a merge join at every size: what is kept grows with the input, and a key of many rows can be split
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
+    left = rows.join(chosen.hint("merge"), same, "left_semi")
+    return (left.dropDuplicates(names) if repeated else left).select("row.*")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component of fingerprints, as ``keep_least`` says."""
-    return keep_least(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
+    """``docs`` with one row of each component of fingerprints: that with the smallest id, rows without an id last; all columns as they are.
+
+    Null, empty and wordless texts are one component, with whatever is linked
+    to fingerprint zero.  An empty table stays empty.
+    """
+    prints = cut(fingerprints(docs, id_col, text_col, shingle))
+    reps = cut(prints.groupBy(F.col("fp").alias("node")).agg(first_row().alias("first")))
+    members = connected_components(links(reps.select(F.col("node").alias("fp")), radius))
+    return keep_rows(docs, prints, winners(reps, members), id_col, text_col)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` over all of ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
