@@ -35,7 +35,7 @@ SAMPLE = 1500
 SAMPLE_TEXT = 1 << 14
 EPOCHS, BATCH, RATE = 14, 32, 0.01
 THRESHOLD = 0.3
-#: Bytes that are scored at once.
+#: Bytes that are scored at once; a longer text is read in slabs of as many, carrying the sums.
 SLAB = 1 << 18
 
 
@@ -145,13 +145,41 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
     return net
 
 
+def long_logit(net: Network, text: bytes, slab: int = SLAB) -> float:
+    """What ``logits`` gives for one text, in memory for ``slab`` bytes of it at once.
+
+    A chunk is two halves, so the last half of a slab is carried to the next.
+    """
+    halves = max(1, -(-(len(text) + WIDTH) // HALF))
+    each = max(1, slab // HALF)
+    total, most = np.zeros(FILTERS), np.full(FILTERS, -np.inf)
+    before = np.empty((0, FILTERS), np.float32)
+    for at in range(0, halves, each):
+        upto = min(halves, at + each)
+        data = np.zeros((upto - at) * HALF + WIDTH, np.uint8)
+        part = np.frombuffer(text, np.uint8)[at * HALF : upto * HALF + WIDTH]
+        data[: len(part)] = part
+        half = np.concatenate([before, _convolve(net, data).max(axis=1)])
+        chunks = np.maximum(half[:-1], half[1:]) if len(half) > 1 else half if halves == 1 else half[:0]
+        if len(chunks):
+            hidden = np.maximum(chunks + net.bias, 0)
+            total += hidden.sum(axis=0, dtype=np.float64)
+            most = np.maximum(most, hidden.max(axis=0))
+        before = half[-1:]
+    return float(total / max(1, halves - 1) @ net.mean + most @ net.most + net.base[0])
+
+
 def scores(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Probabilities of label 1, in slabs of a bounded number of bytes; a longer text is a slab of its own."""
+    """Probabilities of label 1, in slabs of a bounded number of bytes, of many texts or of one."""
     out = np.empty(len(texts))
     at = 0
     while at < len(texts):
+        if len(texts[at]) >= SLAB:
+            out[at] = long_logit(net, texts[at])
+            at += 1
+            continue
         upto, size = at, 0
-        while upto < len(texts) and (size == 0 or size + len(texts[upto]) < SLAB):
+        while upto < len(texts) and len(texts[upto]) < SLAB and (size == 0 or size + len(texts[upto]) < SLAB):
             size += len(texts[upto]) + HALF
             upto += 1
         out[at:upto] = logits(net, texts[at:upto])
@@ -170,13 +198,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     ids = labelled_sample(known, "quality", "doc_id", sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= SAMPLE_TEXT)
-    rows = texts.join(F.broadcast(ids), "doc_id").select("quality", F.col("text").cast("binary").alias("text")).limit(8 * sample).collect()
-    rows = sorted((bytes(r.text), int(r.quality)) for r in rows)
+    known = texts.join(F.broadcast(ids), "doc_id").select("draw", "doc_id", "quality", F.col("text").cast("binary").alias("text"))
+    rows = sorted((bytes(r.text), int(r.quality)) for r in known.orderBy("draw", "doc_id", "text").limit(8 * sample).collect())
     return train([t for t, _ in rows], [q for _, q in rows])
 
 
 def predict_quality(docs: DataFrame, net: Network) -> DataFrame:
-    """``doc_id, score`` for every row; null texts score as empty ones."""
+    """``doc_id, score`` for every row; null texts score as empty ones.
+
+    Whole texts are read, long ones in slabs.  Repeated rows score alike, null
+    ids stay null, an empty table gives no rows, and no other column is read.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +220,7 @@ def predict_quality(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
+    """``predict_quality`` over all of ``documents``, learned from ``labels`` without the held-out rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = fit_quality(docs, table(spark, sf_dir, "labels"))
     return predict_quality(docs, net).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
