@@ -5,7 +5,8 @@ binary value per row of a Parquet table in the shared folder, and read back
 from there.  Features: polyphase resampling by 5/8, overlapped windowed frames,
 log-mel filterbanks, and energy segmentation with hysteresis (a segment opens
 above one threshold and closes below a lower one).  The frames of a row are
-stored as an Arrow stream of fixed-shape tensors, each with its time span.
+stored as an Arrow stream of fixed-shape tensors, each with its time span, and
+the segments as pairs of times.
 
 Style: Arrow batches; the signal processing is numpy's.  Nothing is shuffled.
 """
@@ -33,6 +34,8 @@ FRAME, HOP, MELS = 256, 128, 32
 SPAN = 32
 OPEN_DB, CLOSE_DB = 3.0, -3.0  # against the row's median frame energy
 BLOCK = 64
+#: Samples that are worked on at once, a multiple of ``DOWN``.
+SLAB = 1 << 18
 
 STORED = "doc_id long, n_bytes long, media binary"
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_s:double,end_s:double>>, tensors binary"
@@ -77,10 +80,10 @@ def _phases() -> np.ndarray:
     return np.ascontiguousarray(taps.reshape(TAPS, UP).T[:, ::-1])
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """``x`` at 5/8 of its rate; each output sample is one phase's dot product."""
+def resample(x: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """``x`` at 5/8 of its rate, after the ``TAPS`` - 1 samples ``before`` it (silence if None); each output sample is one phase's dot product."""
     count = -(-len(x) * UP // DOWN)
-    ahead = np.concatenate([np.zeros(TAPS - 1), x, np.zeros(TAPS + DOWN)])
+    ahead = np.concatenate([np.zeros(TAPS - 1) if before is None else before, x, np.zeros(TAPS + DOWN)])
     windows = np.lib.stride_tricks.sliding_window_view(ahead, TAPS)
     out = np.empty(-(-count // UP) * UP)
     for k, taps in enumerate(_phases()[np.arange(UP) * DOWN % UP]):
@@ -106,14 +109,37 @@ def _window() -> np.ndarray:
     return np.hanning(FRAME)
 
 
+def _frames(whole: np.ndarray) -> np.ndarray:
+    frames = np.lib.stride_tricks.sliding_window_view(whole, FRAME)[::HOP]
+    power = np.abs(np.fft.rfft(frames * _window(), axis=1)) ** 2
+    return np.log(power @ _mel() + 1e-6)
+
+
 def log_mel(x: np.ndarray) -> np.ndarray:
     """Overlapped frames of ``x``, zero-padded at the end to a whole frame, as log-mel energies."""
     count = max(1, -(-max(0, len(x) - FRAME) // HOP) + 1)
     whole = np.zeros((count - 1) * HOP + FRAME)
     whole[: len(x)] = x
-    frames = np.lib.stride_tricks.sliding_window_view(whole, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * _window(), axis=1)) ** 2
-    return np.log(power @ _mel() + 1e-6)
+    return _frames(whole)
+
+
+def payload_mel(payload: bytes, slab: int = SLAB) -> np.ndarray:
+    """``log_mel(resample(...))`` of 8-bit samples, ``slab`` of them at once; what a frame or a filter still needs is carried on."""
+    samples = np.frombuffer(payload, np.uint8)
+    before, rest, out = np.zeros(TAPS - 1), np.empty(0), []
+    for at in range(0, len(samples), slab):
+        x = (samples[at : at + slab].astype(np.float64) - 128) / 128
+        held = np.concatenate([rest, resample(x, before)])
+        before = np.concatenate([before, x])[-(TAPS - 1) :]
+        if at + slab >= len(samples):
+            out.append(log_mel(held))
+        elif len(held) >= FRAME + HOP:
+            count = (len(held) - FRAME) // HOP  # the last whole frame is left, so that the end is padded as it would be
+            out.append(_frames(held[: (count - 1) * HOP + FRAME]))
+            rest = held[count * HOP :]
+        else:
+            rest = held
+    return np.concatenate(out) if out else log_mel(rest)
 
 
 def hysteresis(db: np.ndarray, high: float, low: float) -> list[tuple[int, int]]:
@@ -155,8 +181,7 @@ def unpack_tensors(data: bytes) -> pa.Table:
 def features(media: bytes) -> tuple[bytes, str, list[tuple[float, float]], bytes]:
     """The payload read back, a digest of the features, the segments' times in seconds and the tensors."""
     payload, _ = from_wav(media)
-    x = (np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128
-    mel = log_mel(resample(x))
+    mel = payload_mel(payload)
     db = 10 * np.log10(np.exp(mel).sum(axis=1))
     middle = float(np.median(db))
     found = hysteresis(db, middle + OPEN_DB, middle + CLOSE_DB)
@@ -190,8 +215,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write every text's bytes as WAV to a table at ``path`` and read the table back.
 
-    Null texts are empty and stored as 64 zero samples, repeated rows are
-    stored as often as they come, and other columns are not read.
+    Null and empty texts are stored as 64 zero samples, repeated rows as often
+    as they come, long texts whole; an empty table gives an empty one, null ids
+    stay null, and other columns are not read.
     """
     small_batches(docs.sparkSession)
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -200,11 +226,15 @@ def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """Features of a table as ``store_media`` writes it, one row per row; equal bytes give equal values."""
+    """Features of a table as ``store_media`` writes it, one row per row; equal bytes give equal values.
+
+    ``segments`` are times in seconds, ``tensors`` an Arrow stream (``unpack_tensors``).
+    """
     small_batches(media.sparkSession)
     return media.mapInArrow(_extract, FEATURES)
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
+    """``audio_features`` over all of ``documents``, stored and read back; the segments and tensors follow the digests."""
     media = store_media(table(spark, sf_dir, "documents"), scratch(spark, "media"))
-    return audio_features(media).drop("segments", "tensors")
+    return audio_features(media)
