@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences with swap-based local search.
 
 Documents are tokenized, closed by one end id and cut into pieces only if they
-are longer than a sequence.  The pieces' lengths are dealt into groups of a
-bounded size by a hash of their place, and each group is packed on its own:
+are longer than a sequence.  Whole sequences need no packing; the other pieces are
+dealt into groups of a bounded number by a hash of their place, and each group is packed on its own:
 best-fit decreasing first, then a local search that moves a piece, exchanges
 one piece for one, or two for one, between underfull bins whenever that raises
 the sum of squared fills, until no bin can be emptied any more.  A group of
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches, table
+from graphloom.llm.common import cut, small_batches, table
 
 LENGTH = 2048
 END_ID = 0
@@ -303,14 +303,18 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int
 
     Null and empty texts are one piece that holds the end id.  Repeated rows
     and repeated or null ids each give their pieces.  An empty table gives
-    none.  Other columns are not read.
+    none.  A piece as long as a sequence is one, whatever its document's
+    length, and takes no part in the packing.  Other columns are not read.
     """
-    groups = max(1, -(-docs.count() // group))
-    pieces = token_pieces(docs, path, length, end_id, id_col, text_col)
+    pieces = cut(token_pieces(docs, path, length, end_id, id_col, text_col))
+    place = F.monotonically_increasing_id()
+    whole = pieces.where(F.col("length") >= length).select("*", (-1 - place).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < length)
+    groups = max(1, -(-rest.count() // group))
     # rows that share an id are told apart by the place they were read at, so no id makes a large group
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).alias("bucket")
-    dealt = pieces.select("*", bucket)
-    return dealt.groupBy("bucket").applyInArrow(_packer(length), PIECES + ", sequence_id long, offset long")
+    dealt = rest.select("*", F.pmod(F.xxhash64("doc_id", "piece", place), F.lit(groups)).alias("bucket"))
+    packed = dealt.groupBy("bucket").applyInArrow(_packer(length), PIECES + ", sequence_id long, offset long")
+    return whole.unionByName(packed)
 
 
 def tokenizer_path() -> str:
@@ -320,4 +324,5 @@ def tokenizer_path() -> str:
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
+    """``pack_documents`` over all of ``documents``."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
