@@ -39,6 +39,8 @@ DICT_BYTES = 64 << 10
 TRAIN_BYTES = 4 << 20
 #: Payloads that occur more than once and are sent to all tasks, of about 100 bytes each; more are joined by a shuffle.
 SENT = 200_000
+#: Bytes of archives that one task reads.
+TASK_BYTES = 256 << 20
 LEVEL = 6
 DATE = "2000-01-01T00:00:00Z"
 DICT_MAGIC = 0x184D2A5D
@@ -256,13 +258,21 @@ def _reader(keep_payload: bool):
     return run
 
 
-def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the manifest's archives, digests checked; a task reads one archive at a time."""
-    paths = manifest.select("path")
-    return paths.repartition(max(1, paths.count())).mapInArrow(_reader(payloads), RECORDS)
+def read_warc(manifest: DataFrame, payloads: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Every record of the manifest's archives, digests checked.
+
+    A task reads its archives one after another, a record at a time: about
+    ``task_bytes`` of them, or fewer where that leaves cores without work.
+    An empty manifest has no records.
+    """
+    size = manifest.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    least = 4 * manifest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(size.n, max(least, -(-size.bytes // task_bytes))))
+    return manifest.select("path").repartition(tasks).mapInArrow(_reader(payloads), RECORDS)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
+    """``write_warc`` over all of ``pages``, read back by ``read_warc``."""
     manifest = write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return read_warc(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
