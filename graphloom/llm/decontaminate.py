@@ -4,8 +4,13 @@ A window is ``n`` consecutive words of a benchmark item (an item of fewer words
 is one window).  Every window of every document is hashed and looked up in the
 set of window hashes; a lookup that succeeds is verified against the window's
 words.  The set travels as a literal of the plan, behind a check of its number
-and bytes; a benchmark beyond either bound is joined by a shuffle on the words
-themselves, with the same result.
+and bytes.
+
+Of a larger benchmark a bitmap of the hashes travels instead, a row of at most
+``MAX_BITS`` bits.  Only places that it lets through leave their document, as
+hashes, and only documents that have such places are shuffled; they are
+verified in a join with the windows, and what the bitmap lets through by chance
+falls out there.  The result is the same.
 
 Style: DataFrame functions only.  The scan is one pass over the text without
 a shuffle; only the ids of matching windows and documents are exchanged.
@@ -22,6 +27,8 @@ WINDOW = 10
 #: Bounds of the hash set that is sent with the plan.
 MAX_WINDOWS = 50_000
 MAX_BYTES = 8 << 20
+#: Bits of the bitmap for a window, and of all of it (16 MB).
+BITS_EACH, MAX_BITS = 32, 1 << 27
 
 _HIT = "array<struct<at:bigint,len:bigint,gram:string>>"
 
@@ -69,13 +76,31 @@ def scan(docs: DataFrame, windows: DataFrame, text_col: str = "text", max_window
         both = let(_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.array_sort(_scan(w, lengths, wanted)).alias("hits")))
         return rows.select("row", both.alias("x")).select("row", F.col("x.n").alias("n_words"), F.col("x.hits").alias("hits"))
 
-    # beyond the bound: every document window meets the benchmark's in a shuffle join on its words
-    kept = cut(rows.select("row", _words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("uid")))
-    all_grams = kept.select("uid", F.explode(_scan(F.col("words"), lengths, lambda k, piece: F.lit(True))).alias("hit"))
-    hits = all_grams.join(windows.hint("shuffle_hash").select("gram"), F.col("hit.gram") == F.col("gram"), "left_semi")
-    hits = hits.groupBy("uid").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    joined = kept.join(hits, "uid", "left")
-    return joined.select("row", F.size("words").cast("long").alias("n_words"), F.coalesce("hits", F.array().cast(_HIT)).alias("hits"))
+    # beyond the bound: what the bitmap lets through is verified in a join
+    bits = min(MAX_BITS, 1 << max(10, (size.n * BITS_EACH - 1).bit_length()))
+    words = windows.select(F.pmod(F.col("hash"), F.lit(bits)).alias("at")).select((F.col("at") / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int")).alias("bit"))
+    every = windows.sparkSession.range(bits // 64).toDF("word").join(words.groupBy("word").agg(F.bit_or("bit").alias("bit")), "word", "left")
+    bitmap = cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bit", F.lit(0)).alias("bit")))), lambda x: x["bit"]).alias("bitmap")))
+
+    def places(words: Column, bitmap: Column) -> Column:
+        def of(length: int) -> Column:
+            starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1))).otherwise(F.array().cast("array<int>"))
+            hashed = F.transform(starts, lambda i: F.struct((i - 1).cast("long").alias("at"), F.lit(length).cast("long").alias("len"), F.xxhash64(F.slice(words, i, length)).alias("hash")))
+            return F.filter(hashed, lambda x: let(F.pmod(x["hash"], F.lit(bits)), lambda h: F.getbit(F.get(bitmap, (h / 64).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1))
+
+        return F.concat(F.array().cast("array<struct<at:bigint,len:bigint,hash:bigint>>"), *map(of, lengths))
+
+    # the bitmap is one row of a checked size
+    scanned = rows.crossJoin(F.broadcast(bitmap)).select("row", "text", let(_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), places(w, F.col("bitmap")).alias("places"))).alias("x"))
+    kept = cut(scanned.select("row", "x.n_words", "x.places", F.when(F.size("x.places") > 0, F.col("text")).alias("text")))
+    clean = kept.where(F.size("places") == 0).select("row", "n_words", F.array().cast(_HIT).alias("hits"))
+    marked = cut(kept.where(F.size("places") > 0).withColumn("uid", F.monotonically_increasing_id()))
+    each = marked.select("uid", _words(F.col("text")).alias("words"), "places").select("uid", F.explode(F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), x["hash"].alias("hash"), F.array_join(F.slice("words", (x["at"] + 1).cast("int"), x["len"].cast("int")), " ").alias("gram")))).alias("x"))
+    grams = windows.select(F.col("hash").alias("_hash"), F.col("gram").alias("_gram"))
+    hits = each.join(grams.hint("shuffle_hash"), (F.col("x.hash") == F.col("_hash")) & (F.col("x.gram") == F.col("_gram")), "left_semi")
+    hits = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("x.at", "x.len", "x.gram"))).cast(_HIT).alias("hits"))
+    joined = marked.select("row", "n_words", "uid").join(hits, "uid", "left").select("row", "n_words", F.coalesce("hits", F.array().cast(_HIT)).alias("hits"))
+    return clean.unionByName(joined)
 
 
 def _covered(hits: Column) -> Column:
@@ -94,8 +119,10 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = WINDOW, id_col: st
     """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     Null and empty texts have no words and hit nothing; items without words are
-    never hit; null item ids don't count as items.  Repeated rows each give
-    their row.  Other columns are not read.
+    never hit; null item ids don't count as items; ties don't arise, as every
+    hit counts.  Repeated rows each give their row, null ids stay null, long
+    texts are read whole, an empty table gives no rows and an empty benchmark
+    no hits.  Other columns are not read.
     """
     windows = benchmark_windows(bench, n)
     found = scan(docs.select(F.col(id_col).alias("doc_id"), "text"), windows, **bounds)
@@ -115,7 +142,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = WINDOW, mode: str
 
     All columns are kept as they are, whatever their names; ``spans`` changes
     only ``text_col``: hit words go, with what stands between two of them.
-    Null texts stay null.
+    Null texts stay null, empty ones empty, repeated rows stay or go together,
+    long texts are read whole, and an empty table or benchmark changes nothing.
     """
     found = scan(docs, benchmark_windows(bench, n), text_col, **bounds)
     if mode == "documents":
@@ -152,6 +180,7 @@ def _without_hits() -> Column:
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """``contamination`` of all of ``documents`` by all of ``benchmark``."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
