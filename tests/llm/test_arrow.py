@@ -121,6 +121,51 @@ def test_scores_cover_whole_texts_and_odd_rows(spark, odd_docs, no_docs):
     assert quality.scores(quality.fit_quality(odd_docs, labels), [b"x"])[0] == pytest.approx(0.3)
 
 
+def test_long_texts_score_in_slabs_as_they_do_at_once():
+    rng = np.random.default_rng(4)
+    net = quality.train([bytes(rng.integers(32, 90, 300, dtype=np.uint8)) for _ in range(40)], [k % 2 for k in range(40)])
+    for size in (0, 1, 115, 116, 117, 127, 128, 129, 244, 245, 1000, 5000, 8191):
+        text = bytes(rng.integers(0, 256, size, dtype=np.uint8))
+        for slab in (128, 256, 1024):
+            assert quality.long_logit(net, text, slab) == pytest.approx(float(quality.logits(net, [text])[0]), rel=1e-4, abs=1e-5), (size, slab)
+
+
+def test_responses_against_brute_force():
+    """The network as its docstring has it, byte by byte."""
+    rng = np.random.default_rng(5)
+    net = quality.train([bytes(rng.integers(32, 90, 300, dtype=np.uint8)) for _ in range(20)], [k % 2 for k in range(20)])
+    for size in (3, 200, 700):
+        text = bytes(rng.integers(0, 256, size, dtype=np.uint8))
+        halves = max(1, -(-(size + quality.WIDTH) // quality.HALF))
+        data = text + bytes(halves * quality.HALF + quality.WIDTH - size)
+        best = [[max(sum(float(net.filters[k][data[h * quality.HALF + at + k]][f]) for k in range(quality.WIDTH)) for at in range(0, quality.HALF, quality.STRIDE)) for f in range(quality.FILTERS)] for h in range(halves)]
+        chunks = [[max(a, b) for a, b in zip(best[h], best[min(h + 1, halves - 1)], strict=True)] for h in range(max(1, halves - 1))]
+        hidden = np.maximum(np.array(chunks) + net.bias, 0)
+        want = hidden.mean(axis=0) @ net.mean + hidden.max(axis=0) @ net.most + net.base[0]
+        assert float(quality.logits(net, [text])[0]) == pytest.approx(float(want), rel=1e-4, abs=1e-4)
+
+
+def _peak_mb(function, *args):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        function(*args)
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_for_very_long_texts():
+    net = quality.train([b"good words"] * 4 + [b"$$$$"] * 4, [1] * 4 + [0] * 4)
+    text = "words of many languages, les mots et die Wörter. " * (16 << 20 >> 6)
+    data = text.encode()
+    assert _peak_mb(quality.scores, net, [data]) < 100
+    model = langid.learn([(f"l{k}", "".join(chr(97 + (k * j) % 26) for j in range(400))) for k in range(100)])
+    assert _peak_mb(langid.identify, model, [text[: 4 << 20]]) < 250
+    assert _peak_mb(media.features, media.to_wav(media.padded(data))) < 250
+
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header class="site-header"><h1>My Site</h1><a href=/>home</a></header>
@@ -237,6 +282,25 @@ def test_pack_is_whole_and_tight():
         assert len(bins) <= -(-lengths.sum() // 2048) * 1.02 + 2
 
 
+def test_local_search_needs_fewer_bins_than_best_fit_alone():
+    rng = np.random.default_rng(8)
+    saved = 0
+    for _ in range(6):
+        lengths = rng.integers(300, 1100, 400)
+        alone = packing.best_fit(lengths, 2048)
+        saved += len(alone) - len(packing.local_search(lengths, alone, 2048))
+    assert saved > 0
+
+
+def test_whole_sequences_are_routed_around_the_packer(spark):
+    rows = [(1, "word " * 9000), (2, "a few words"), (None, "word " * 2500), (1, "word " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, packing.tokenizer_path()).collect()
+    whole = [r for r in got if r.length == 2048]
+    assert len(whole) == 9 and len({r.sequence_id for r in whole}) == 9 and all(r.offset == 0 and r.sequence_id < 0 for r in whole)
+    assert {r.sequence_id for r in got if r.length < 2048}.isdisjoint({r.sequence_id for r in whole})
+
+
 def test_local_search_empties_bins():
     lengths = np.array([6, 4, 6, 4, 5, 5])
     start = [[0], [1], [2], [3], [4], [5]]
@@ -337,6 +401,24 @@ def check_media(rows, texts):
         assert seen.setdefault(payload, r.feature) == r.feature
 
 
+@pytest.mark.parametrize("size", [64, 448, 512, 4096, 4160, 20032])
+def test_features_against_brute_force(size):
+    """Resampling by its sum over the filter's taps, frames by a discrete Fourier sum, and slabs of any size alike."""
+    rng = np.random.default_rng(size)
+    payload = bytes(rng.integers(0, 256, size, dtype=np.uint8))
+    x = (np.frombuffer(payload, np.uint8) - 128.0) / 128
+    taps = np.empty(media.UP * media.TAPS)
+    taps.reshape(media.TAPS, media.UP)[:] = media._phases()[:, ::-1].T
+    y = [sum(taps[k] * x[(8 * j - k) // 5] for k in range(8 * j % 5, len(taps), 5) if 0 <= (8 * j - k) // 5 < len(x)) for j in range(-(-len(x) * 5 // 8))]
+    assert media.resample(x) == pytest.approx(np.array(y))
+    count = max(1, -(-max(0, len(y) - 256) // 128) + 1)
+    y = np.array(y + [0.0] * ((count - 1) * 128 + 256 - len(y)))
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    want = [np.log(np.abs(waves @ (y[k * 128 : k * 128 + 256] * np.hanning(256))) ** 2 @ media._mel() + 1e-6) for k in range(count)]
+    for slab in (64, 1024, 1 << 18):
+        assert media.payload_mel(payload, slab) == pytest.approx(np.array(want), abs=1e-6)
+
+
 def test_media_query(spark, sf):
     texts = {(len((r.text or "").encode()), r.doc_id): (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     check_media(QUERIES["op7_media"](spark, sf).collect(), texts)
@@ -374,6 +456,45 @@ def test_mixtures():
     assert np.allclose(langid.mixtures(model, [ENGLISH * 20])[0], everything[:1])
 
 
+def test_mixtures_against_brute_force():
+    """EM over windows as the docstring has it, one window and one language at a time."""
+    import math
+
+    rows = [("en", "the house and the garden with the small tree "), ("de", "das Haus und der Garten mit dem kleinen Baum "), ("fr", "la maison et le jardin avec le petit arbre ")]
+    model = langid.learn([(lang, text * 20) for lang, text in rows])
+    for text in ("the garden", rows[0][1] * 6 + rows[2][1] * 4, "maison und tree " * 30):
+        grams = langid.trigrams(text)
+        shares = [1 / 3] * 3
+        cut = [grams[k : k + langid.WINDOW] for k in range(0, len(grams), langid.WINDOW)]
+        logs = [[sum(float(model.table[g][k]) for g in w) * langid.TEMPER for k in range(3)] for w in cut]
+        weight = [[math.exp(x - max(row)) for x in row] for row in logs]
+        for _ in range(langid.ROUNDS):
+            parts = [[w * s / sum(a * b for a, b in zip(row, shares, strict=True)) for w, s in zip(row, shares, strict=True)] for row in weight]
+            shares = [sum(p[k] for p in parts) / len(parts) for k in range(3)]
+        alone, _ = langid.mixtures(model, [text])
+        many, _ = langid.mixtures(model, [text, rows[1][1]])
+        assert alone[0] == pytest.approx(shares, abs=1e-3) and many[0] == pytest.approx(shares, abs=1e-3)
+
+
+def test_what_is_a_letter():
+    model = langid.learn([("en", "some words of a text"), ("de", "einige Wörter")])
+    assert langid.identify(model, ["½ ² Ⅷ ① 12 _ !", "", None, "x", "ª", "日"])[0][:3] == ["und"] * 3
+    assert "und" not in langid.identify(model, ["x", "ª", "日", "Ⅷ x"])[0]
+
+
+def test_languages_beyond_two_hundred_are_learned(spark):
+    rows = [(k, f"lang{k:03d}", "".join(chr(97 + (k * j * j + j) % 26) for j in range(300))) for k in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert len(langid.fit_languages(docs).langs) > 150
+
+
+def test_slabs_of_a_text_give_its_trigrams(monkeypatch):
+    text = "Ein Text über dies & das, ÉTÉ. " * 20
+    whole = langid.trigrams(text)
+    monkeypatch.setattr(langid, "SLAB", 7)
+    assert langid.trigrams(text).tolist() == whole.tolist()
+
+
 def test_languages_odd_rows(odd_docs, no_docs):
     model = langid.fit_languages(odd_docs)
     got = {(r.doc_id, r.lang_pred) for r in langid.predict_languages(odd_docs, model).collect()}
