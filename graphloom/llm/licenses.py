@@ -29,7 +29,8 @@ BASE_FORM = r"(?<![^ ])(?:mit|apache|general public) license(?![^ ])"
 
 _V = "(?: version)?(?: v)?"
 
-#: label, keyword, pattern of the name in normalised words, whether the name alone says enough.  Every match has a word that starts with the keyword.
+#: label, keyword, pattern of the name in normalised words, whether the name alone says enough (None: only with the word license after it).
+#: Every match has a word that starts with the keyword.
 NAMES = (
     ("mit", "mit", r"mit", False),
     ("mit-0", "attribution", r"mit no attribution", True),
@@ -71,7 +72,7 @@ NAMES = (
     ("cpl-1.0", "common", r"common public license(?: 1 0)?", True),
     ("artistic-1.0", "artistic", rf"artistic(?: license)?{_V} 1(?: 0)?", True),
     ("artistic-2.0", "artistic", rf"artistic(?: license)?{_V} 2(?: 0)?", True),
-    ("artistic", "artistic", r"artistic", False),
+    ("artistic", "artistic", r"artistic", None),
     ("bsl-1.0", "boost", rf"boost software(?: license)?{_V}(?: 1 0)?", True),
     ("busl-1.1", "business", r"business source license(?: 1 1)?", True),
     ("sspl-1.0", "server", r"server side public", True),
@@ -80,7 +81,7 @@ NAMES = (
     ("wtfpl", "wtfpl", r"wtfpl", True),
     ("python-2.0", "python", r"python(?: software foundation)?", False),
     ("php-3.0", "php", r"php", False),
-    ("ruby", "ruby", r"ruby", False),
+    ("ruby", "ruby", r"ruby", None),
     ("postgresql", "postgresql", r"postgresql", False),
     ("openssl", "openssl", r"openssl", False),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", False),
@@ -108,11 +109,11 @@ NAMES = (
     ("llama", "llama", r"llama(?: [23])?(?: [0-9])? community", True),
     ("openrail", "openrail", r"(?:creativeml )?openrail(?: m)?", True),
     ("openrail", "rail", r"(?:creativeml )?open rail(?: m)?", True),
-    ("proprietary", "proprietary", r"proprietary", False),
+    ("proprietary", "proprietary", r"proprietary", None),
 )
 
-_GRANT = r"(?:licensed|licenced|released|distributed|available|published|provided|redistributed|covered|governed)"
-_TERMS = r"(?: to you)? (?:under|by)(?: either)?(?: the)?(?: terms(?: and conditions)? of)?(?: an?| the)?"
+_GRANT = r"(?:(?:licensed|licenced|released|distributed|available|published|provided|redistributed)(?: to you)? under|(?:covered|governed) (?:under|by))"
+_TERMS = r"(?: either)?(?: the)?(?: terms(?: and conditions)? of)?(?: an?| the)?"
 _LICENSE = r"(?: public| software| general| community)? licen[cs]es?"
 
 #: Words, of which a text must hold one for the templates that name the group to match anywhere.
@@ -121,7 +122,7 @@ ANCHORS = {"none": (), "spdx": (" spdx ",), "grant": (" under ", " by "), "licen
 #: priority (1 is best), score, anchors, template; the last is used for names that say enough alone.
 TEMPLATES = (
     (1, 1.0, "spdx", r"spdx license identifier {name}"),
-    (2, 0.95, "grant", _GRANT + _TERMS + r" {name}" + f"(?:{_LICENSE})?" + r"(?: version [0-9](?: [0-9])?)?"),
+    (2, 0.95, "grant", _GRANT + _TERMS + r" {name}{license}(?: version [0-9](?: [0-9])?)?"),
     (3, 0.9, "license", r"(?:see|read|accompanying|subject to|terms of|copy of|accept)(?: the)? {name}" + _LICENSE),
     (4, 0.8, "license", r"{name}" + _LICENSE + r"(?: version [0-9](?: [0-9])?)?"),
     (4, 0.75, "either", r"(?:licen[cs]es?|licen[cs]ed|spdx) (?:is )?(?:the )?{name}"),
@@ -157,8 +158,98 @@ SIGNATURES = (
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("wtfpl", "fuck", r"you just do what the fuck you want to"),
     ("cc0-1.0", "neighboring", r"waived all copyright and related or neighboring rights"),
+    ("mit", "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "tort", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"),
+    ("x11", "consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("hpnd", "hereby", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("ntp", "hereby", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("tcl", "hereby", r"the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose"),
+    ("w3c", "royalty", r"permission to copy modify and distribute this (?:software|work) and its documentation with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("unicode", "unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("beerware", "beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd", "contributors", r"this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("bsd-3-clause", "endorse", r"neither the name of (?:[^ ]+ ){1,12}nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("libpng", "png", r"the png reference library is supplied as is"),
+    ("ijg", "jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "cryptographic", r"this product includes cryptographic software written by eric young"),
+    ("php-3.0", "php", r"this product includes php software freely available from"),
+    ("python-2.0", "psf", r"psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly"),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation"),
+    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", "hereby", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license"),
+    ("apache-2.0", "trademarks", r"this license does not grant permission to use the trade names trademarks service marks or product names of the licensor"),
+    ("ecl-2.0", "educational", r"licensed under the educational community license version 2 0"),
+    ("gpl-1.0", "foundation", rf"gnu {_FSF}1"),
+    ("gpl", "redistribute", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "merchantability", r"this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
+    ("gpl", "gnu", r"you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl-2.0", "guarantee", r"the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users"),
+    ("gpl-3.0", "guarantee", r"the gnu general public license is intended to guarantee your freedom to share and change all versions of a program"),
+    ("lgpl", "merchantability", r"this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
+    ("lgpl", "redistribute", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl-2.0", "library", rf"gnu library {_FSF}2"),
+    ("lgpl-3.0", "incorporates", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("agpl-3.0", "affero", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("agpl-3.0", "interacting", r"your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", "documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("perl", "perl", r"you can redistribute it and or modify it under the same terms as perl itself"),
+    ("artistic-1.0", "artistic", r"the copyright holder maintains some semblance of artistic control over the development of the package"),
+    ("artistic-2.0", "establishes", r"this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("mpl-1.0", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 0"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "incompatible", r"this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("epl-1.0", "eclipse", r"the accompanying program is provided under the terms of this eclipse public license agreement"),
+    ("epl-1.0", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?|version )?2 0"),
+    ("cpl-1.0", "accompanying", r"the accompanying program is provided under the terms of this common public license agreement"),
+    ("ipl-1.0", "ibm", r"the accompanying program is provided under the terms of this ibm public license agreement"),
+    ("cddl", "development", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cecill", "cecill", r"this software is governed by the cecill(?: [bc])? license under french law"),
+    ("eupl-1.2", "eupl", r"licensed under the eupl(?: version)?(?: v)? ?1 2"),
+    ("afl-3.0", "academic", r"licensed under the academic free license version 3 0"),
+    ("osl-3.0", "osl", r"open software license osl v ?3 0"),
+    ("upl-1.0", "universal", r"the universal permissive license upl version 1 0"),
+    ("ms-pl", "governs", r"this license governs use of the accompanying software if you use the software you accept this license"),
+    ("bsl-1.0", "boost", r"distributed under the boost software license version 1 0"),
+    ("busl-1.1", "production", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl-1.0", "functionality", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "clause", r"commons clause license condition"),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|shield|perimeter|strict|internal use) license"),
+    ("unlicense", "compiled", r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"),
+    ("cc0-1.0", "deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by-4.0", "commons", r"creative commons attribution 4 0 international"),
+    ("cc-by-sa-4.0", "commons", r"creative commons attribution share ?alike 4 0 international"),
+    ("cc-by-nc-4.0", "commons", r"creative commons attribution non ?commercial 4 0 international"),
+    ("cc-by-nd-4.0", "commons", r"creative commons attribution no ?derivatives 4 0 international"),
+    ("cc-by-nc-sa-4.0", "commons", r"creative commons attribution non ?commercial share ?alike 4 0 international"),
+    ("cc-by-nc-nd-4.0", "commons", r"creative commons attribution non ?commercial no ?derivatives 4 0 international"),
+    ("cc-by-3.0", "commons", r"creative commons attribution 3 0 unported"),
+    ("cc-by-sa-3.0", "commons", r"creative commons attribution share ?alike 3 0 unported"),
+    ("cc-by-nc-3.0", "commons", r"creative commons attribution non ?commercial 3 0 unported"),
+    ("cc-by-nc-sa-3.0", "commons", r"creative commons attribution non ?commercial share ?alike 3 0 unported"),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "collaborative", r"the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),
+    ("odbl-1.0", "database", r"this (?:[^ ]+ ){0,6}is made available under the open database license"),
+    ("pddl-1.0", "dedication", r"open data commons public domain dedication and license"),
+    ("llama", "monthly", r"the monthly active users of the products or services made available by or for licensee"),
+    ("openrail", "attachment", r"the restrictions set forth in attachment a are considered use based restrictions"),
+    ("bigcode-openrail-m", "bigcode", r"bigcode open ?rail m"),
+    ("gemma", "gemma", r"gemma terms of use"),
+    ("proprietary", "confidential", r"this software is the confidential and proprietary information of"),
+    ("proprietary", "unauthorized", r"unauthorized copying of this file via any medium is strictly prohibited"),
 )
 
+#: What reserves all rights and grants none; it ranks last.
+RESERVED = ("all-rights-reserved", "reserved", r"all rights reserved")
+
 #: Of all signatures: priority, score and anchors.
 SIGNED = (2, 0.95, "none")
 
@@ -181,14 +272,18 @@ def rules() -> list[Rule]:
 
     A name that states a version ranks with sentences, so that it stands against the name in them without.
     """
+    whole = lambda pattern: rf"(?<![^ ]){pattern}(?![^ ])"
     made = [
-        (min(priority, 4) if label[-1].isdigit() else priority, score, label, keyword, list(ANCHORS).index(anchor), r"(?<![^ ])" + template.replace("{name}", f"(?:{name})") + r"(?![^ ])")
+        (min(priority, 4) if label[-1].isdigit() else priority, score, label, keyword, list(ANCHORS).index(anchor), whole(template.replace("{name}", f"(?:{name})").replace("{license}", _LICENSE if alone is None else f"(?:{_LICENSE})?")))
         for priority, score, anchor, template in TEMPLATES
         for label, keyword, name, alone in NAMES
         if alone or priority < 5
     ]
-    priority, score, anchor = SIGNED
-    made += [(priority, score, label, keyword, list(ANCHORS).index(anchor), rf"(?<![^ ]){pattern}(?![^ ])") for label, keyword, pattern in SIGNATURES]
+    none = list(ANCHORS).index("none")
+    priority, score, _ = SIGNED
+    made += [(priority, score, label, keyword, none, whole(pattern)) for label, keyword, pattern in SIGNATURES]
+    label, keyword, pattern = RESERVED
+    made.append((max(t[0] for t in TEMPLATES), 0.5, label, keyword, none, whole(pattern)))
     return [Rule(k, *x) for k, x in enumerate(sorted(made, key=lambda x: x[0]))]
 
 
@@ -257,8 +352,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``doc_id, n_words, base`` (first words of the base phrases' places, in
     order, with labels) and ``found`` (array of start, end, priority, rule,
-    label, score; words, ends exclusive).  Null and wordless texts have none.
-    Repeated rows each give their row; other columns are not read.
+    label, score; words, ends exclusive).  Null, empty and wordless texts have
+    none; of detections at one place the better priority, then the earlier rule
+    stands.  Long texts are read whole, repeated rows each give their row, null
+    ids stay null, an empty table gives no rows, and other columns are not read.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), spaced_words(F.col(text_col).cast("string")).alias("s"))
 
@@ -298,6 +395,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
+    """``scan_licenses`` over all of ``documents``, as counts, labels and a score."""
     found = scan_licenses(table(spark, sf_dir, "documents"))
     base, more = F.transform("base", lambda b: b["label"]), F.transform("found", lambda d: d["label"])
     listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

@@ -14,6 +14,8 @@ def _samples(parsed) -> list[str]:
     for op, arg in parsed:
         if op is c.LITERAL:
             parts.append([chr(arg)])
+        elif op is c.NOT_LITERAL:
+            parts.append(["x"])
         elif op is c.IN:
             kind, value = arg[0]
             parts.append([chr(value if kind is c.LITERAL else value[0])])
@@ -72,3 +74,28 @@ Software Foundation, either version 3 of the License, or (at your option) any la
 
 def test_whole_texts_without_a_name(spark):
     assert _labels(spark, [MIT, ISC, BSD2 + END, BSD3 + END, GPL]) == [{"mit"}, {"isc"}, {"bsd", "bsd-2-clause"}, {"bsd", "bsd-3-clause"}, {"gpl-3.0"}]
+
+
+def test_headers_and_notices(spark):
+    texts = {
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.': {"apache-2.0"},
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": {"mpl-2.0"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": {"cc-by-nc", "cc-by-nc-4.0"},
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY": {"gpl"},
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": {"gpl-2.0"},
+        "Copyright 1999 Some Firm. All rights reserved.": {"all-rights-reserved"},
+        "You can redistribute it and/or modify it under the same terms as Perl itself.": {"perl"},
+    }
+    assert _labels(spark, list(texts)) == list(texts.values())
+
+
+def test_plain_mentions_are_no_licenses(spark):
+    texts = ["The study was published by proprietary firms.", "Made available by the Python community.", "An artistic mind under pressure.", "He was released by MIT.", "a proprietary format", "ruby red, published under ruby lights"]
+    assert _labels(spark, texts) == [set()] * len(texts)
+    assert _labels(spark, ["It comes under a proprietary license.", "Released under the Ruby license."]) == [{"proprietary"}, {"ruby"}]
+
+
+def test_rules_are_many_and_ordered():
+    rules = licenses.rules()
+    assert len(rules) > 450 and len(licenses.SIGNATURES) > 100
+    assert [r.priority for r in rules] == sorted(r.priority for r in rules) and len({r.pattern for r in rules}) == len(rules)
