@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +53,24 @@ def nmi(table: DataFrame) -> DataFrame:
 
 
 def best_matching(gain: np.ndarray) -> list[int]:
-    """The column for each row that maximises the sum, by shortest augmenting paths with potentials; -1 for none."""
+    """The column for each row that maximises the sum, by shortest augmenting paths with potentials; -1 for none.
+
+    The rows are the shorter side, so nothing is padded to a square.
+    """
+    if gain.shape[0] > gain.shape[1]:
+        found = [-1] * gain.shape[0]
+        for column, row in enumerate(best_matching(gain.T)):
+            found[row] = column
+        return found
     rows, columns = gain.shape
-    size = max(rows, columns)
-    cost = np.zeros((size, size))
-    cost[:rows, :columns] = gain.max(initial=0) - gain
-    u, v = np.zeros(size), np.zeros(size)
-    owner = np.full(size, -1)
-    for row in range(size):
-        least, came, done = np.full(size, np.inf), np.full(size, -1), np.zeros(size, bool)
+    top = gain.max(initial=0)
+    u, v = np.zeros(rows), np.zeros(columns)
+    owner = np.full(columns, -1)
+    for row in range(rows):
+        least, came, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
         at, column = row, -1
         while at != -1:
-            reduced = cost[at] - u[at] - v + (0 if column < 0 else least[column])
+            reduced = top - gain[at] - u[at] - v + (0 if column < 0 else least[column])
             better = ~done & (reduced < least)
             least[better], came[better] = reduced[better], column
             column = int(np.argmin(np.where(done, np.inf, least)))
@@ -81,32 +88,36 @@ def best_matching(gain: np.ndarray) -> list[int]:
             column = before
     found = [-1] * rows
     for column, row in enumerate(owner):
-        if row < rows and column < columns:
+        if row >= 0:
             found[int(row)] = column
     return found
 
 
-#: Cells of the contingency table that the matching takes to the driver.
-MATCHING_CELLS = 4_000_000
-
-
 def accuracy(table: DataFrame) -> float:
     """Share of vertices whose block is matched to their true block, for the best one-to-one matching.
 
-    The matching needs the table, of blocks by blocks, on the driver; a table
-    over ``MATCHING_CELLS`` raises.
+    Blocks and true blocks meet only where they share a vertex, so the matching
+    falls into the connected components of the contingency table: each is
+    solved in a task of its own, and none is gathered on the driver.
     """
-    size = table.agg(F.countDistinct("b").alias("b"), F.countDistinct("t").alias("t"), F.sum("n").alias("n")).first()
-    if not size.n:
-        return 0.0
-    if size.b * size.t > MATCHING_CELLS:
-        raise ValueError(f"{size.b} x {size.t} cells are too many to match on the driver")
-    rows = table.collect()
-    bs, ts = ({x: k for k, x in enumerate(sorted({r[c] for r in rows}))} for c in ("b", "t"))
-    gain = np.zeros((len(bs), len(ts)))
-    for r in rows:
-        gain[bs[r.b], ts[r.t]] = r.n
-    return sum(gain[k, c] for k, c in enumerate(best_matching(gain)) if c >= 0) / size.n
+    from graphloom.operators.common import cut
+    from graphloom.operators.components import connected
+
+    dense = cut(table.select("b", "t", "n"))
+    ends = dense.select((F.col("b") * 2).alias("a"), (F.col("t") * 2 + 1).alias("c"))
+    parts = connected(ends.toDF("a", "b")).select(F.col("node").alias("_node"), "root")
+    grouped = dense.join(parts, F.col("b") * 2 == F.col("_node")).select("root", "b", "t", "n")
+    matched = grouped.groupBy("root").applyInArrow(_matched, "root long, matched long")
+    one = matched.agg(F.coalesce(F.sum("matched"), F.lit(0)).alias("m")).crossJoin(dense.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))).first()
+    return one.m / one.n if one.n else 0.0
+
+
+def _matched(group: pa.Table) -> pa.Table:
+    rows, columns = (np.unique(group[c].to_numpy(), return_inverse=True) for c in ("b", "t"))
+    gain = np.zeros((len(rows[0]), len(columns[0])))
+    gain[rows[1], columns[1]] = group["n"].to_numpy()
+    total = sum(int(gain[k, c]) for k, c in enumerate(best_matching(gain)) if c >= 0)
+    return pa.table({"root": [group["root"][0].as_py()], "matched": [total]}, schema=pa.schema([("root", pa.int64()), ("matched", pa.int64())]))
 
 
 def scores(edges: DataFrame, assignment: DataFrame, truth: DataFrame, vertices: int) -> DataFrame:

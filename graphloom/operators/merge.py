@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import description
 from graphloom.operators.blockmodel import neighbor_weights
 from graphloom.operators.common import cut, first_n
 from graphloom.operators.entropy import merge_delta
@@ -45,6 +46,10 @@ def chosen(best: DataFrame, wanted: int) -> DataFrame:
     return first_n(best, wanted, F.col("de"), F.col("block"))
 
 
-def merge_step(matrix: DataFrame, candidates: DataFrame, wanted: int) -> DataFrame:
-    """``block, into`` without chains, for about ``wanted`` fewer blocks, on scores that aren't renewed between merges."""
-    return resolved(chosen(best_merges(merge_delta(matrix, candidates)), wanted))
+def merge_step(matrix: DataFrame, candidates: DataFrame, wanted: int, block_table: DataFrame | None = None) -> DataFrame:
+    """``block, into`` without chains, for about ``wanted`` fewer blocks, on scores that aren't renewed between merges.
+
+    With ``block_table`` the merges are scored by the nonparametric length.
+    """
+    scored = merge_delta(matrix, candidates) if block_table is None else description.merge_delta(matrix, block_table, candidates)
+    return resolved(chosen(best_merges(scored), wanted))

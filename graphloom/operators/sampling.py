@@ -32,6 +32,11 @@ def round_robin(vertices: DataFrame, part: int, parts: int) -> DataFrame:
     return vertices.where(F.pmod(F.col("v"), F.lit(parts)) == part)
 
 
+def random_parts(vertices: DataFrame, parts: int, seed: int) -> DataFrame:
+    """``v, part``: every vertex in a part drawn by a seeded hash."""
+    return vertices.select("v", F.floor(uniform(seed, F.col("v")) * parts).cast("long").alias("part"))
+
+
 def expansion(edges: DataFrame, n: int, seeds: DataFrame) -> DataFrame:
     """``v``: a snowball from ``seeds(v)`` by waves of the vertices with the most neighbours that are new.
 
@@ -77,8 +82,8 @@ def degree_product_snowball(edges: DataFrame, n: int, seeds: DataFrame) -> DataF
     return sample
 
 
-def snowballs(edges: DataFrame, parts: int, rounds: int = 1000) -> DataFrame:
-    """``v, part``: a disjoint cover, grown in waves from the ``parts`` largest vertices.
+def snowballs(edges: DataFrame, parts: int) -> DataFrame:
+    """``v, part``: a disjoint cover, grown in waves from the ``parts`` largest vertices until a wave reaches nothing new.
 
     A vertex that several parts reach in one wave goes to the smallest part;
     what no part reaches is dealt by id.
@@ -88,7 +93,7 @@ def snowballs(edges: DataFrame, parts: int, rounds: int = 1000) -> DataFrame:
     near = cut(graph.neighbors(edges).where("v <> nb").select("v", "nb").distinct())
     owned = cut(seeds.select("v", (F.row_number().over(Window.orderBy(F.desc("k"), "v")) - 1).cast("long").alias("part")))
     edge = owned
-    for _ in range(rounds):
+    while True:
         wave = near.join(edge, "v").groupBy(F.col("nb").alias("v")).agg(F.min("part").alias("part"))
         edge = cut(wave.join(owned.select("v"), "v", "left_anti"))
         if edge.isEmpty():

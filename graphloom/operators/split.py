@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.numeric import lbinom, lfactorial
-from graphloom.functions.randomness import uniform
+from graphloom.functions.randomness import race, uniform
 from graphloom.operators import blockmodel as bm
 from graphloom.operators import graph
 from graphloom.operators.common import cut, first_n, numbered
@@ -29,15 +29,79 @@ def seeds_by_degree(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return first.select("b", "v", F.lit(0).cast("long").alias("side")).unionByName(second.select("b", "v", F.lit(1).cast("long").alias("side")))
 
 
-def snowball_sides(edges: DataFrame, assignment: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
+def seeds_random(assignment: DataFrame, seed: int) -> DataFrame:
+    """``b, v, side``: two vertices of each block by a seeded hash; a block of one has one."""
+    return _two_least(assignment.where("b is not null").select("b", "v", uniform(seed, F.col("v")).alias("key")))
+
+
+def seeds_degree_weighted(edges: DataFrame, assignment: DataFrame, seed: int) -> DataFrame:
+    """``b, v, side``: two vertices of each block, drawn one after the other with probability proportional to their degrees; islands come last."""
+    deg = assignment.where("b is not null").join(graph.degrees(edges).select("v", "k"), "v", "left")
+    key = F.coalesce(race(F.coalesce("k", F.lit(0)), uniform(seed, F.col("v"))), F.lit(1e300))
+    return _two_least(deg.select("b", "v", key.alias("key")))
+
+
+def _two_least(keyed: DataFrame) -> DataFrame:
+    """The two rows of each block with the least ``key``, ties by id; sides 0 and 1."""
+    least = lambda frame: frame.groupBy("b").agg(F.min(F.struct("key", "v")).alias("x")).select("b", F.col("x.v").alias("v"))
+    keyed = cut(keyed)
+    first = cut(least(keyed))
+    second = least(keyed.join(first.select("v"), "v", "left_anti"))
+    return first.select("b", "v", F.lit(0).cast("long").alias("side")).unionByName(second.select("b", "v", F.lit(1).cast("long").alias("side")))
+
+
+def plain_snowball_sides(edges: DataFrame, assignment: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``b, v, side``: both seeds of each block grow by their neighbours in waves, whatever the weights; side 0 on a tie and for what no wave reaches."""
+    return _grown(edges, assignment, seeds, F.when(F.col("side") == 1, 1).otherwise(2))
+
+
+def single_snowball_sides(edges: DataFrame, assignment: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``b, v, side``: one snowball for each block, from its seed of side 1, which takes waves until half of the block is in it; the rest is side 0.
+
+    Of the wave that would take more than half, the vertices with the smallest ids join.
+    """
+    inner = cut(_inner(edges, assignment))
+    room = cut(assignment.where("b is not null").groupBy("b").agg(F.floor(F.count("*") / 2).cast("long").alias("half")))
+    owned = cut(seeds.groupBy("b").agg(F.max_by("v", "side").alias("v")).select("b", "v"))
+    while True:
+        size = owned.groupBy("b").agg(F.count("*").alias("n"))
+        open_blocks = room.join(size, "b").where("n < half").select("b", (F.col("half") - F.col("n")).alias("left"))
+        reached = inner.join(owned.select(F.col("v").alias("nb")), "nb", "left_semi").select("b", "v").distinct().join(owned.select("v"), "v", "left_anti").join(open_blocks, "b")
+        wave = cut(numbered(reached.select("b", "v", "left"), F.col("b"), F.col("v"), name="_n"))
+        if wave.isEmpty():
+            break
+        starts = wave.groupBy("b").agg(F.min("_n").alias("_first"))
+        owned = cut(owned.unionByName(wave.join(starts, "b").where("_n - _first < left").select("b", "v")))
+    inside = owned.select("v", F.lit(1).cast("long").alias("side"))
+    return assignment.where("b is not null").join(inside, "v", "left").select("b", "v", F.coalesce("side", F.lit(0)).cast("long").alias("side"))
+
+
+def _inner(edges: DataFrame, assignment: DataFrame) -> DataFrame:
+    known = assignment.where("b is not null")
+    return graph.neighbors(edges).where("v <> nb").join(known, "v").join(known.select(F.col("v").alias("nb"), F.col("b").alias("b2")), "nb").where("b = b2").select("b", "v", "nb", "w")
+
+
+def _grown(edges: DataFrame, assignment: DataFrame, seeds: DataFrame, rank: Column) -> DataFrame:
+    inner = cut(_inner(edges, assignment))
+    owned = cut(seeds.select("b", "v", "side"))
+    while True:
+        near = inner.join(owned.select(F.col("v").alias("nb"), "side"), "nb").groupBy("b", "v").agg(F.max(rank).alias("best"))
+        wave = cut(near.join(owned.select("v"), "v", "left_anti").select("b", "v", (F.col("best") == 1).cast("long").alias("side")))
+        if wave.isEmpty():
+            break
+        owned = cut(owned.unionByName(wave))
+    rest = assignment.where("b is not null").join(owned.select("v"), "v", "left_anti").select("b", "v", F.lit(0).cast("long").alias("side"))
+    return owned.unionByName(rest)
+
+
+def snowball_sides(edges: DataFrame, assignment: DataFrame, seeds: DataFrame) -> DataFrame:
     """``b, v, side``: both seeds of each block grow in waves; a vertex joins the side with more edges, side 0 on a tie.
 
     What no wave reaches is on side 0.  All blocks grow at once.
     """
-    inner = graph.neighbors(edges).where("v <> nb").join(assignment.where("b is not null"), "v").join(assignment.select(F.col("v").alias("nb"), F.col("b").alias("b2")), "nb").where("b = b2").select("b", "v", "nb", "w")
-    inner = cut(inner)
+    inner = cut(_inner(edges, assignment))
     owned = cut(seeds.select("b", "v", "side"))
-    for _ in range(rounds):
+    while True:
         near = inner.join(owned.select(F.col("v").alias("nb"), "side"), "nb").groupBy("b", "v").agg(F.sum(F.when(F.col("side") == 1, F.col("w")).otherwise(-F.col("w"))).alias("lean"))
         wave = cut(near.join(owned.select("v"), "v", "left_anti").select("b", "v", (F.col("lean") > 0).cast("long").alias("side")))
         if wave.isEmpty():

@@ -2,9 +2,11 @@
 
 Graphs of at most ``local_edges`` distinct edges are fitted by the sequential
 kernel on the driver, after a count of the edges.  Larger ones run every phase
-as plans over the edges: the driver keeps only the search's three points and
-the stopping history, and each step's labels are written to the shared
-checkpoint folder.
+as plans over the edges, with the same options: the driver keeps only the
+search's three points and the stopping history, and each step's labels are
+written to the shared checkpoint folder.  What the kernel moves one by one, the
+plans move in ``mh_batches`` batches with a renewed model between them, and
+merges come in rounds with renewed scores.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import blockmodel as bm
-from graphloom.operators import combine, entropy, graph, mcmc, merge, sampling, split
+from graphloom.operators import combine, description, entropy, graph, mcmc, merge, sampling, split
 from graphloom.operators.common import cut
 from graphloom.operators.proposal import propose_merges
 from graphloom.plans.kernel import Model
@@ -29,7 +31,7 @@ from graphloom.plans.search import MergeSearch, Point, SplitSearch
 class Config:
     """Options of a fit; see the README for each."""
 
-    algorithm: str = "hybrid_mcmc"  # async_gibbs, metropolis_hastings, hybrid_mcmc; plans always sweep as async_gibbs
+    algorithm: str = "hybrid_mcmc"  # async_gibbs, metropolis_hastings, hybrid_mcmc
     approximate_merges: bool = False
     async_iterations: int | None = None
     batches: int = 1
@@ -37,14 +39,16 @@ class Config:
     greedy: bool = True
     mh_fraction: float = 0.075  # the share of vertices, of largest degree, that hybrid_mcmc moves one by one
     mix: bool = False
-    objective: str = "parametric"  # or nonparametric, which isn't greedy and is fitted by the kernel
+    mh_batches: int = 2  # in which plans move the vertices that the kernel moves one by one
+    objective: str = "parametric"  # or nonparametric, which isn't greedy
     dedup: bool = False
     ordered: bool = False
     sample_fraction: float = 1.0
     sampler: str = "random"  # max_degree, random, expansion_snowball, degree_product, degree_product_snowball
-    splitter: str = "random"  # random, snowball
+    splitter: str = "random"  # random, snowball, single_snowball, connectivity_snowball
+    split_init: str = "high_degree"  # seeds of the snowballs: random, degree_weighted, high_degree
     num_subgraphs: int = 1
-    subgraph_partition: str = "round_robin"  # or snowball
+    subgraph_partition: str = "round_robin"  # or random, snowball
     directed: bool = True
     tag: str = "default tag"
     proposals: int = 10
@@ -61,8 +65,14 @@ class Config:
             raise ValueError(f"no objective {self.objective!r}")
         if not 0 < self.sample_fraction <= 1:
             raise ValueError("sample_fraction is over 0 and at most 1")
-        if self.splitter not in ("random", "snowball"):
+        if self.splitter not in ("random", "snowball", "single_snowball", "connectivity_snowball"):
             raise ValueError(f"no splitter {self.splitter!r}")
+        if self.split_init not in ("random", "degree_weighted", "high_degree"):
+            raise ValueError(f"no seeds {self.split_init!r}")
+        if self.subgraph_partition not in ("round_robin", "random", "snowball"):
+            raise ValueError(f"no subgraph partition {self.subgraph_partition!r}")
+        if self.mh_batches < 1:
+            raise ValueError("mh_batches is at least 1")
         if self.num_subgraphs < 1:
             raise ValueError("num_subgraphs is at least 1")
 
@@ -145,21 +155,29 @@ def fit_local(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bra
 # plans
 
 
-def length_of(matrix: DataFrame, vertices: int, num_blocks: int) -> float:
-    return float(entropy.mdl(matrix, vertices, num_blocks).first().mdl)
+def length_of(matrix: DataFrame, vertices: int, num_blocks: int, labels: DataFrame | None = None) -> float:
+    """The description length; with ``labels`` the nonparametric one."""
+    one = entropy.mdl(matrix, vertices, num_blocks) if labels is None else description.mdl(matrix, bm.blocks(matrix, labels))
+    return float(one.first().mdl)
+
+
+def _length(matrix: DataFrame, labels: DataFrame, vertices: int, num_blocks: int, config: Config) -> float:
+    return length_of(matrix, vertices, num_blocks, labels if config.objective == "nonparametric" else None)
 
 
 def merge_phase(edges: DataFrame, labels: DataFrame, num_blocks: int, target: int, config: Config, seed: int) -> tuple[DataFrame, int]:
     """Merge until at most ``target`` blocks are left.
 
-    A block matrix of at most ``local_cells`` cells is merged by the kernel,
-    each merge scored anew when its turn comes.  A larger one, or any with
-    ``approximate_merges``, is merged by plans in steps, on the scores of the
-    step's start.
+    A block matrix of at most ``local_cells`` cells is merged by the kernel on
+    the parametric length, each merge scored anew when its turn comes.  A
+    larger one, or by the nonparametric length, is merged by plans in rounds,
+    each of half of the merges that are left, scored anew between them; with
+    ``approximate_merges`` in one round.
     """
+    nonparametric = config.objective == "nonparametric"
     while num_blocks > target:
         matrix = cut(bm.block_matrix(edges, labels))
-        if not config.approximate_merges and num_blocks <= config.local_cells and matrix.limit(config.local_cells + 1).count() <= config.local_cells:
+        if not nonparametric and not config.approximate_merges and num_blocks <= config.local_cells and matrix.limit(config.local_cells + 1).count() <= config.local_cells:
             cells = sorted((r.r, r.c, r.w) for r in matrix.collect())
             blocks = Model(cells, num_blocks, list(range(num_blocks)))
             blocks.shrink(target, random.Random(seed), config.proposals)
@@ -167,7 +185,9 @@ def merge_phase(edges: DataFrame, labels: DataFrame, num_blocks: int, target: in
             return cut(labels.join(F.broadcast(into), "b").select("v", F.col("into").alias("b"))), blocks.blocks
         ids = labels.select("b").distinct()
         candidates = propose_merges(matrix, ids, num_blocks, config.proposals, seed)
-        applied = cut(merge.merge_step(matrix, candidates, num_blocks - target))
+        wanted = num_blocks - target
+        wanted = wanted if config.approximate_merges else -(-wanted // 2)
+        applied = cut(merge.merge_step(matrix, candidates, wanted, cut(bm.blocks(matrix, labels)) if nonparametric else None))
         labels = cut(bm.compact(bm.merged(labels, applied)))
         now = num_blocks - applied.count()
         if now == num_blocks:
@@ -176,21 +196,37 @@ def merge_phase(edges: DataFrame, labels: DataFrame, num_blocks: int, target: in
     return labels, num_blocks
 
 
-def vertex_phase(edges: DataFrame, labels: DataFrame, vertices: int, num_blocks: int, config: Config, seed: int, initial: float, bracketed: bool) -> tuple[DataFrame, float, int, int]:
-    """Gibbs sweeps against the model of the last batch, until the description length stalls: labels, length, sweeps, moves."""
+def vertex_phase(edges: DataFrame, labels: DataFrame, vertices: int, num_blocks: int, config: Config, seed: int, initial: float, bracketed: bool, iteration: int = 0) -> tuple[DataFrame, float, int, int]:
+    """Sweeps until the description length stalls: labels, length, sweeps, moves.
+
+    The share of vertices of largest degree that the algorithm moves one by one
+    is moved in ``mh_batches`` batches, the others in ``batches``; each batch is
+    judged against the model that the last one left.
+    """
+    algorithm = config.algorithm
+    if algorithm == "async_gibbs" and config.async_iterations is not None and iteration >= config.async_iterations:
+        algorithm = "metropolis_hastings"
+    share = {"metropolis_hastings": 1.0, "async_gibbs": 0.0}.get(algorithm, config.mh_fraction)
+    nonparametric = config.objective == "nonparametric"
+    greedy = config.greedy and not nonparametric
+    everyone = [(None, k, config.mh_batches if share == 1 else config.batches) for k in range(config.mh_batches if share == 1 else config.batches)]
+    if 0 < share < 1:
+        high = cut(graph.largest(cut(graph.degrees(edges).select("v", "k")), "k", "v", math.ceil(vertices * share)).select("v"))
+        low = cut(labels.select("v").join(high, "v", "left_anti"))
+        everyone = [(high, k, config.mh_batches) for k in range(config.mh_batches)] + [(low, k, config.batches) for k in range(config.batches)]
     changes: list[float] = []
     total = 0
     matrix = cut(bm.block_matrix(edges, labels))
-    before = length_of(matrix, vertices, num_blocks)
+    before = _length(matrix, labels, vertices, num_blocks, config)
     for sweep in range(config.sweeps):
         moved = 0
-        for batch in range(config.batches):
-            moves = cut(mcmc.gibbs_moves(edges, labels, num_blocks, seed + 31 * sweep + batch, config.greedy, (batch, config.batches), matrix))
+        for place, (among, k, number) in enumerate(everyone):
+            moves = cut(mcmc.gibbs_moves(edges, labels, num_blocks, seed + 31 * sweep + place, greedy, (k, number), matrix, among, nonparametric))
             if count := moves.count():
                 labels = cut(bm.moved(labels, moves))
                 matrix = cut(bm.block_matrix(edges, labels))
             moved += count
-        after = length_of(matrix, vertices, num_blocks) if moved else before
+        after = _length(matrix, labels, vertices, num_blocks, config) if moved else before
         total += moved
         changes.append(after - before)
         before = after
@@ -199,23 +235,16 @@ def vertex_phase(edges: DataFrame, labels: DataFrame, vertices: int, num_blocks:
     return labels, before, len(changes), total
 
 
-def swept_by_plans(config: Config) -> None:
-    """Refuse what the plans' Gibbs sweeps on the parametric length would pass over; the default ``hybrid_mcmc`` is swept so too."""
-    if config.objective != "parametric":
-        raise ValueError(f"plans fit the parametric objective only, not {config.objective!r}")
-    if config.algorithm == "metropolis_hastings" or config.async_iterations is not None or config.mh_fraction != Config.mh_fraction:
-        raise ValueError("plans make no Metropolis-Hastings moves: metropolis_hastings, async_iterations and mh_fraction are for the kernel")
-
-
 def fit_plans(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bracket: bool = False) -> Fit:
     """The bottom-up search with every phase as plans."""
     mapping = cut(sampling.local_ids(vertices))
     local = cut(graph.relabelled(edges, mapping))
     number = mapping.count()
     labels = cut(mapping.select(F.col("local_v").alias("v"), F.col("local_v").alias("b")))
-    initial = length_of(local.toDF("r", "c", "w"), number, number)
+    initial = _length(local.toDF("r", "c", "w"), labels, number, number, config)
     search, profile = MergeSearch(), []
-    point = Point(number, initial, labels)
+    # one block for each vertex is a local optimum of the nonparametric length, so there it is only the start
+    point = Point(number, math.inf if config.objective == "nonparametric" else initial, labels)
     iteration = 0
     while True:
         step = search.next(point)
@@ -226,7 +255,7 @@ def fit_plans(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bra
         began = time.perf_counter()
         labels, blocks = merge_phase(local, step.start.model, step.start.blocks, max(1, step.target), config, seed)
         merged = time.perf_counter()
-        labels, mdl, sweeps, moves = vertex_phase(local, labels, number, blocks, config, seed, initial, search.bracketed)
+        labels, mdl, sweeps, moves = vertex_phase(local, labels, number, blocks, config, seed, initial, search.bracketed, iteration)
         iteration += 1
         point = Point(blocks, mdl, labels)
         profile.append({"iteration": iteration, "num_blocks": blocks, "mdl": point.mdl, "block_merge_time": merged - began, "mcmc_time": time.perf_counter() - merged, "mcmc_iterations": sweeps, "mcmc_moves": moves})
@@ -237,19 +266,32 @@ def fit_plans(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bra
 def search_blocks(edges: DataFrame, vertices: DataFrame, config: Config, stop_at_bracket: bool = False) -> Fit:
     """Bottom-up, by the kernel if the graph is within ``local_edges``, else by plans."""
     small = edges.limit(config.local_edges + 1).count() <= config.local_edges and vertices.limit(config.local_edges + 1).count() <= config.local_edges
-    if not small and config.objective == "nonparametric":
-        raise ValueError(f"the nonparametric objective is fitted on at most {config.local_edges} edges")
-    if not small:
-        swept_by_plans(config)
     return (fit_local if small else fit_plans)(edges, vertices, config, stop_at_bracket)
 
 
+def _sides(edges: DataFrame, labels: DataFrame, config: Config, seed: int) -> DataFrame:
+    """``trial, b, v, side``: proposals of two halves of each block, ``trials`` of them where they are drawn."""
+    if config.splitter == "random":
+        return split.random_sides(labels, config.trials, seed)
+    grow = {"snowball": split.plain_snowball_sides, "single_snowball": split.single_snowball_sides, "connectivity_snowball": split.snowball_sides}[config.splitter]
+    every = None
+    for trial in range(1 if config.split_init == "high_degree" else config.trials):
+        if config.split_init == "high_degree":
+            seeds = split.seeds_by_degree(edges, labels)
+        elif config.split_init == "random":
+            seeds = split.seeds_random(labels, seed + trial)
+        else:
+            seeds = split.seeds_degree_weighted(edges, labels, seed + trial)
+        one = grow(edges, labels, cut(seeds)).select(F.lit(trial).cast("long").alias("trial"), "b", "v", "side")
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
 def fit_top_down(edges: DataFrame, vertices: DataFrame, config: Config) -> Fit:
     """The divisive search: split, sweep, bracket.  All phases are plans."""
-    swept_by_plans(config)
     labels = cut(vertices.select("v", F.lit(0).cast("long").alias("b")))
     number = vertices.count()
-    initial = length_of(bm.block_matrix(edges, labels), number, 1)
+    initial = _length(bm.block_matrix(edges, labels), labels, number, 1, config)
     search, profile = SplitSearch(number), []
     point = Point(1, initial, labels)
     iteration = 0
@@ -259,16 +301,13 @@ def fit_top_down(edges: DataFrame, vertices: DataFrame, config: Config) -> Fit:
             break
         seed = config.seed + 1009 * iteration
         labels, blocks = step.start.model, step.start.blocks
-        if config.splitter == "random":
-            sides = cut(split.random_sides(labels, config.trials, seed))
-        else:
-            sides = cut(split.snowball_sides(edges, labels, split.seeds_by_degree(edges, labels)).withColumn("trial", F.lit(0).cast("long")))
+        sides = cut(_sides(edges, labels, config, seed))
         best = cut(split.best_splits(split.split_scores(edges, sides)))
         labels = cut(bm.compact(split.apply_splits(labels, sides, best, blocks, step.target - blocks)))
         now = labels.agg(F.max("b")).first()[0] + 1
         if now == blocks:
             break
-        labels, mdl, sweeps, moves = vertex_phase(edges, labels, number, now, config, seed, initial, search.bracketed)
+        labels, mdl, sweeps, moves = vertex_phase(edges, labels, number, now, config, seed, initial, search.bracketed, iteration)
         iteration += 1
         point = Point(now, mdl, labels)
         profile.append({"iteration": iteration, "num_blocks": now, "mdl": point.mdl, "mcmc_iterations": sweeps, "mcmc_moves": moves})
@@ -319,7 +358,7 @@ def fit(edges: DataFrame, config: Config = Config(), vertices: DataFrame | None
     if config.detach:
         labels = cut(sampling.reattach(whole, every, labels, found.num_blocks, config.seed))
     if labels is not found.assignment:
-        found = replace(found, assignment=labels, mdl=length_of(bm.block_matrix(whole, labels), every.count(), found.num_blocks))
+        found = replace(found, assignment=labels, mdl=_length(bm.block_matrix(whole, labels), labels, every.count(), found.num_blocks, config))
     return found
 
 
@@ -327,11 +366,12 @@ def divide_and_conquer(edges: DataFrame, parts: int, config: Config = Config())
     """Fit ``parts`` subgraphs, bring their labels together, merge across parts and refine on the whole graph."""
     if parts < 1:
         raise ValueError("parts is at least 1")
-    swept_by_plans(config)
     whole = prepared(edges, config)
     every = cut(graph.endpoints(whole).select("v").distinct())
     if config.subgraph_partition == "snowball":
         cover = cut(sampling.snowballs(whole, parts))
+    elif config.subgraph_partition == "random":
+        cover = cut(sampling.random_parts(every, parts, config.seed))
     else:
         cover = cut(every.select("v", F.pmod(F.col("v"), F.lit(parts)).cast("long").alias("part")))
     labelled = None
@@ -343,7 +383,7 @@ def divide_and_conquer(edges: DataFrame, parts: int, config: Config = Config())
     labels = cut(bm.compact(combine.concatenated(cut(labelled))))
     number, blocks = every.count(), labels.agg(F.max("b")).first()[0] + 1
     search = MergeSearch()
-    initial = length_of(bm.block_matrix(whole, labels), number, blocks)
+    initial = _length(bm.block_matrix(whole, labels), labels, number, blocks, config)
     labels, mdl, _, _ = vertex_phase(whole, labels, number, blocks, config, config.seed, initial, False)
     point, iteration = Point(blocks, mdl, labels), 0
     while not (step := search.next(point)).done:

@@ -42,27 +42,25 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """A square coordinate matrix as edges; a symmetric one in both directions, loops once.
 
-    The header and the size line are found by what stands before them, on the
-    first lines of the file; entries are the lines after.
+    The header is the first line; the size line is the first that is neither
+    empty nor a comment, however many of those stand before it.
     """
     lines = spark.read.text(path)
-    head = [r.value for r in lines.limit(1000).collect()]
-    if not head or not head[0].startswith("%%MatrixMarket"):
+    head = lines.first()
+    if head is None or not head.value.startswith("%%MatrixMarket"):
         raise ValueError("no Matrix Market header")
-    kind = head[0].lower().split()
+    kind = head.value.lower().split()
     if kind[2] != "coordinate":
         raise ValueError("only coordinate matrices are read")
-    size = next((line for line in head if line.strip() and not line.startswith("%")), None)
+    # its text may occur again as an entry, so the size line is told by its place
+    numbered = lines.where(~F.startswith("value", F.lit("%")) & (F.trim("value") != "")).withColumn("_at", F.monotonically_increasing_id())
+    size = numbered.agg(F.min(F.struct("_at", "value")).alias("x")).first().x
     if size is None:
-        raise ValueError("no size line within the first 1000")
-    rows, columns, _ = map(int, size.split()[:3])
+        raise ValueError("no size line")
+    rows, columns, _ = map(int, size["value"].split()[:3])
     if rows != columns:
         raise ValueError("the matrix isn't square")
-    # the size line is the only one of its file that comes first after comments; its text may occur again as an entry
-    first = lines.where(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
-    place = F.monotonically_increasing_id()
-    numbered = first.withColumn("_at", place)
-    at = numbered.agg(F.min("_at")).first()[0]
+    at = size["_at"]
     fields = _fields(numbered.where(F.col("_at") != at).select("value"))
     edges = fields.select((F.get("x", F.lit(0)).cast("long") - 1).alias("src"), (F.get("x", F.lit(1)).cast("long") - 1).alias("dst"), F.lit(1).cast("long").alias("w"))
     if kind[-1] == "symmetric":

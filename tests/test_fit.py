@@ -82,7 +82,7 @@ def test_fit_recovers_a_planted_partition(spark):
 
 def test_fit_by_plans(spark):
     edges, truth = planted(spark, 40, 2, 8, 0.9, 3)
-    found = fitting.fit(edges, fitting.Config(seed=3, local_edges=0, sweeps=2))
+    found = fitting.fit(edges, fitting.Config(seed=3, algorithm="async_gibbs", local_edges=0, sweeps=2))
     assert found.num_blocks == 2 and score(found, truth) == pytest.approx(1)
 
 
@@ -94,13 +94,13 @@ def test_sampled_and_detached_fit(spark):
 
 def test_divide_and_conquer(spark):
     edges, truth = planted(spark, 40, 2, 8, 0.9, 3)
-    found = fitting.divide_and_conquer(edges, 2, fitting.Config(seed=3, sweeps=2))
+    found = fitting.divide_and_conquer(edges, 2, fitting.Config(seed=3, algorithm="async_gibbs", sweeps=2))
     assert found.assignment.count() == 40 and score(found, truth) > 0.9
 
 
 def test_top_down(spark):
     edges, truth = planted(spark, 40, 2, 8, 0.9, 3)
-    config = fitting.Config(seed=3, sweeps=3, splitter="snowball")
+    config = fitting.Config(seed=3, algorithm="async_gibbs", sweeps=3, splitter="connectivity_snowball")
     found = fitting.fit_top_down(fitting.prepared(edges, config), truth.select("v"), config)
     assert found.assignment.count() == 40 and found.num_blocks >= 1
 
@@ -173,12 +173,6 @@ def test_options_recover_a_planted_partition(spark, options):
 
 def test_mixed_search(spark):
     edges, truth = planted(spark, 40, 2, 8, 0.95, 3)
-    config = fitting.Config(seed=3, sweeps=3, trials=3, mix=True)
+    config = fitting.Config(seed=3, algorithm="async_gibbs", sweeps=3, trials=3, mix=True)
     found = fitting.fit_top_down(fitting.prepared(edges, config), truth.select("v"), config)
     assert found.assignment.count() == 40
-
-
-def test_large_nonparametric_fits_are_refused(spark):
-    edges, _ = planted(spark, 40, 2, 8, 0.95, 3)
-    with pytest.raises(ValueError):
-        fitting.fit(edges, fitting.Config(objective="nonparametric", local_edges=10))

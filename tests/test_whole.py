@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import blockmodel as bm
 from graphloom.operators import combine
 from graphloom.operators.entropy import merge_delta
 from graphloom.operators.merge import best_merges
@@ -33,18 +34,47 @@ def test_cross_merges_are_the_best_of_all_pairs_at_any_size(spark, monkeypatch):
     assert len(want) == 20 and got == want
 
 
-def test_unknown_splitters_are_refused():
-    for name in ("single_snowball", "connectivity_snowball", ""):
+def test_unknown_options_are_refused():
+    for options in ({"splitter": "other"}, {"split_init": ""}, {"subgraph_partition": "none"}, {"mh_batches": 0}):
         with pytest.raises(ValueError):
-            fitting.Config(splitter=name)
-
-
-@pytest.mark.parametrize("options", [{"algorithm": "metropolis_hastings"}, {"async_iterations": 2}, {"mh_fraction": 0.5}, {"objective": "nonparametric"}])
-def test_options_that_plans_would_pass_over_are_refused(spark, options):
-    edges, truth = planted(spark, 40, 2, 8, 0.9, 3)
-    with pytest.raises(ValueError):
-        fitting.fit(edges, fitting.Config(local_edges=0, **options))
-    with pytest.raises(ValueError):
-        fitting.fit_top_down(edges, truth.select("v"), fitting.Config(**options))
-    with pytest.raises(ValueError):
-        fitting.divide_and_conquer(edges, 2, fitting.Config(**options))
+            fitting.Config(**options)
+
+
+@pytest.mark.parametrize("options", [{"algorithm": "metropolis_hastings", "greedy": False}, {"mh_fraction": 0.5}, {"objective": "nonparametric"}])
+def test_sweeps_as_plans_lower_the_length_under_every_option(spark, options):
+    edges, truth = planted(spark, 60, 2, 10, 0.95, 3)
+    config = fitting.Config(sweeps=2, **options)
+    whole = fitting.prepared(edges, config)
+    labels = truth.select("v", F.when(F.col("v") % 7 == 0, 1 - F.col("t")).otherwise(F.col("t")).alias("b"))
+    before = fitting._length(bm.block_matrix(whole, labels), labels, 60, 2, config)
+    after, length, sweeps, moves = fitting.vertex_phase(whole, labels, 60, 2, config, 5, before, False)
+    assert moves > 0 and length < before and 1 <= sweeps <= 2
+    assert length == pytest.approx(fitting._length(bm.block_matrix(whole, after), after, 60, 2, config))
+
+
+@pytest.mark.parametrize("objective", ["parametric", "nonparametric"])
+def test_merges_as_plans_reach_the_target_in_rounds(spark, objective):
+    edges, truth = planted(spark, 60, 2, 10, 0.95, 3)
+    config = fitting.Config(objective=objective, local_cells=0)
+    whole = fitting.prepared(edges, config)
+    labels = truth.select("v", (F.col("v") % 6).alias("b"))
+    merged, number = fitting.merge_phase(whole, labels, 6, 2, config, 3)
+    assert number == 2
+    pairs = {(r.b, r.t) for r in merged.join(truth, "v").select("b", "t").distinct().collect()}
+    assert len(pairs) == 2
+
+
+@pytest.mark.parametrize(("splitter", "seeds"), [("snowball", "random"), ("single_snowball", "degree_weighted"), ("connectivity_snowball", "high_degree")])
+def test_sides_of_every_splitter(spark, splitter, seeds):
+    edges, truth = planted(spark, 60, 2, 10, 0.95, 3)
+    labels = truth.select("v", F.when(F.col("v") < 58, 0).otherwise(1).cast("long").alias("b"))
+    sides = fitting._sides(edges, labels, fitting.Config(splitter=splitter, split_init=seeds, trials=2), 5)
+    rows = sides.collect()
+    trials = {r.trial for r in rows}
+    assert trials == ({0} if seeds == "high_degree" else {0, 1})
+    for trial in trials:
+        own = [r for r in rows if r.trial == trial]
+        assert sorted((r.b, r.v) for r in own) == sorted((r.b, r.v) for r in labels.collect())
+        assert {r.side for r in own if r.b == 0} == {0, 1}
+        if splitter == "single_snowball":
+            assert sum(r.side for r in own if r.b == 0) == 29
