@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a folder of this process where ``spark.checkpoint.dir`` is unset."""
+    """The folder that the driver and all executors see; where ``spark.checkpoint.dir`` is unset, a folder of this process on one machine, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")

@@ -283,7 +283,7 @@ def early_stop_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _planted_fit(spark: SparkSession, run) -> DataFrame:
-    edges, truth = src.planted(spark, 40, 2, 8, 0.95, 3)
+    edges, truth = src.planted(spark, 24, 2, 8, 0.95, 3)
     found = run(edges, truth)
     scores = evaluate.pairwise(cut(evaluate.contingency(found.assignment, truth)))
     return scores.select(F.lit(found.num_blocks).cast("long").alias("num_blocks"), F.round(F.lit(found.mdl), 4).alias("mdl"), F.round("f1", 6).alias("f1"))
@@ -292,14 +292,14 @@ def _planted_fit(spark: SparkSession, run) -> DataFrame:
 @query()
 def fit_as_plans(spark: SparkSession, sf: str) -> DataFrame:
     """The bottom-up search with every phase as plans, on a planted graph."""
-    return _planted_fit(spark, lambda e, t: fitting.fit(e, fitting.Config(seed=3, local_edges=0, sweeps=2)))
+    return _planted_fit(spark, lambda e, t: fitting.fit(e, fitting.Config(seed=3, local_edges=0, sweeps=1)))
 
 
 @query()
 def fit_top_down_as_plans(spark: SparkSession, sf: str) -> DataFrame:
-    return _planted_fit(spark, lambda e, t: fitting.fit_top_down(fitting.prepared(e, fitting.Config()), t.select("v"), fitting.Config(seed=3, algorithm="async_gibbs", sweeps=2, trials=3)))
+    return _planted_fit(spark, lambda e, t: fitting.fit_top_down(fitting.prepared(e, fitting.Config()), t.select("v"), fitting.Config(seed=3, algorithm="async_gibbs", sweeps=1, trials=2)))
 
 
 @query()
 def divide_and_conquer_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return _planted_fit(spark, lambda e, t: fitting.divide_and_conquer(e, 2, fitting.Config(seed=3, algorithm="async_gibbs", sweeps=2)))
+    return _planted_fit(spark, lambda e, t: fitting.divide_and_conquer(e, 2, fitting.Config(seed=3, algorithm="async_gibbs", sweeps=1)))
