@@ -16,6 +16,12 @@ with the key's sets, not with their pairs.  Every candidate pair is held
 against the whole sets, and only what has the similarity is a link.  Equal sets
 are one node from the start.
 
+A forest's edge may fail where another pair across the same gap would not.  So
+the components of all candidates, here called clumps, are searched whole: all
+sets of a clump that the links found so far leave apart are held against each
+other, in tiles of two lots, and no pair that meets within ``REACH`` is lost.
+Rows grow with a clump's sets times its lots.
+
 Style: Arrow batches for fingerprints, distances and checks; grouping, joining
 and the components are DataFrame operations.
 """
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, small_batches
 from graphloom.llm.components import connected_components
-from graphloom.llm.simhash import SEED, first_row, keep_rows, keyed, winners
+from graphloom.llm.simhash import SEED, _Forest, first_row, keep_rows, keyed, winners
 
 SHINGLE = 5
 LEAST = 0.8
@@ -40,8 +46,10 @@ LEAST = 0.8
 TABLES, SEGMENT = 12, 20
 #: Bits of 256 that a candidate pair may differ in: a pair at 0.8 differs in more with a chance of 0.001.
 REACH = 58
-#: Sets of a key that are compared with each other; a larger key is cut into such lots in the order of their first words.
+#: Rows of a key up to which its forest is a minimum one; of a larger key that holds within such lots, in the order of their first words.
 LOT = 512
+#: Sets and hashes of a lot of a clump; a task holds two lots.
+TILE_SETS, TILE_HASHES = 512, 1 << 18
 
 _WORDS = 4
 _MIX = np.array([0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF for k in range(_WORDS)], np.uint64)
@@ -146,39 +154,49 @@ def spanning_forest(prints: np.ndarray, reach: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _parts(batches: Iterator[pa.RecordBatch], lot: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
-    """The columns of rows sorted by their first one, cut between keys; a key of more than ``lot`` rows comes in lots, marked as such."""
-    rest: list[np.ndarray] | None = None
+def key_forest(prints: np.ndarray, reach: int, lot: int) -> list[tuple[int, int]]:
+    """Edges that join what the pairs of ``prints`` at most ``reach`` bits apart join: minimum forests within lots of rows, then what is missing between them.
+
+    Between lots a row is compared with those that nothing has reached yet, so
+    a group of near copies costs little more than its size.
+    """
+    if len(prints) <= lot:
+        return spanning_forest(prints, reach)
+    edges = [(at + i, at + j) for at in range(0, len(prints), lot) for i, j in spanning_forest(prints[at : at + lot], reach)]
+    group = _Forest()
+    for i, j in edges:
+        group.join(i, j)
+    rest, left = np.arange(len(prints)), prints
+    while len(rest) > 1:
+        frontier, rest, left = [int(rest[0])], rest[1:], left[1:]
+        while frontier and len(rest):
+            at = frontier.pop()
+            near = _apart(left, prints[at]) <= reach
+            for other in rest[near].tolist():
+                frontier.append(other)
+                if group.root(at) != group.root(other):
+                    group.join(at, other)
+                    edges.append((at, other))
+            rest, left = rest[~near], left[~near]
+    return edges
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first ``keys`` ones, cut between rows that differ in these."""
+    rest: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-        yield from _cut_at_keys(held, lot, last := int(np.searchsorted(held[0], held[0][-1])))
-        while len(held[0]) - last > lot:
-            yield True, [c[last : last + lot] for c in held]
-            last += lot
-        rest = [c[last:] for c in held]
-    if rest is not None:
-        yield from _cut_at_keys(rest, lot, len(rest[0]))
-
-
-def _cut_at_keys(held: list[np.ndarray], lot: int, end: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
-    keys = held[0][:end]
-    if not end:
-        return
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
-    sizes = np.diff(np.append(starts, end))
-    at = 0
-    for k in np.flatnonzero(sizes > lot).tolist():
-        start, stop = int(starts[k]), int(starts[k] + sizes[k])
-        if start > at:
-            yield False, [c[at:start] for c in held]
-        for part in range(start, stop, lot):
-            yield True, [c[part : min(stop, part + lot)] for c in held]
-        at = stop
-    if end > at:
-        yield False, [c[at:end] for c in held]
+        last = int(np.argmax(np.all([c == c[-1] for c in columns[:keys]], axis=0)))
+        if rest and (last or any(x[0] != y[0] for x, y in zip(rest[0][:keys], columns[:keys], strict=True))):
+            yield [np.concatenate(x) for x in zip(*rest, [c[:last] for c in columns], strict=True)]
+            rest = []
+        elif last:
+            yield [c[:last] for c in columns]
+        rest.append([c[last:] for c in columns])
+    if rest:
+        yield [np.concatenate(x) for x in zip(*rest, strict=True)]
 
 
 def _keys_with(keys: np.ndarray, wanted) -> Iterator[slice]:
@@ -212,23 +230,20 @@ class _Pairs:
 
 def _forests(reach: int, lot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows ``(key, node, words...)`` come sorted by key and words; lots of one key are joined by their first rows."""
-        pairs, leader = _Pairs(), None
-        for is_lot, (keys, nodes, *words) in _parts(batches, lot):
+        """Rows ``(key, node, words...)`` come sorted by key and words; what one key holds is 40 bytes a row."""
+        pairs = _Pairs()
+        for keys, nodes, *words in _whole_runs(batches, 1):
             prints = np.stack(words, axis=1).view(np.uint64)
-            runs, at = [], 0
-            if is_lot or leader is not None and leader[0] == keys[0]:  # the rest of a key in lots is shorter and isn't marked
-                at = int(np.searchsorted(keys, keys[0], side="right"))
-                own, held = nodes[:at], prints[:at]
-                if leader is not None and leader[0] == keys[0]:
-                    own, held = np.append(own, leader[1]), np.concatenate([held, leader[2][None]])
-                runs.append((own, held))
-                leader = (keys[0], nodes[0], prints[0])
-            near = _keys_with(keys[at:], lambda i, j: _apart(prints[at:][i], prints[at:][j]) <= reach)  # noqa: B023
-            runs += [(nodes[at:][x], prints[at:][x]) for x in near]
-            for own, held in runs:
-                for i, j in spanning_forest(held, reach):
-                    pairs.add(int(own[i]), int(own[j]))
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+            sizes = np.diff(np.append(starts, len(keys)))
+            runs = [np.arange(starts[k], starts[k] + sizes[k]) for k in np.flatnonzero(sizes > lot)]
+            few = np.flatnonzero(np.repeat(sizes <= lot, sizes))
+            if len(few):
+                some = prints[few]
+                runs += [few[x] for x in _keys_with(keys[few], lambda i, j: _apart(some[i], some[j]) <= reach)]  # noqa: B023
+            for own in runs:
+                for i, j in key_forest(prints[own], reach, lot):
+                    pairs.add(int(nodes[own[i]]), int(nodes[own[j]]))
             yield from pairs.out()
         yield from pairs.out(0)
 
@@ -245,18 +260,88 @@ def candidates(reps: DataFrame, reach: int = REACH, lot: int = LOT) -> DataFrame
     return rows.sortWithinPartitions("key", *names).mapInArrow(_forests(reach, lot), "a long, b long").distinct()
 
 
+def tile_links(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Links between the ``left`` and the ``right`` ones of ``sets`` that join what ``roots`` doesn't: a forest with the components of all of them."""
+    group = np.unique(roots, return_inverse=True)[1]
+    sizes = np.array([len(sets[k]) for k in right])
+    hashes = np.concatenate([sets[k] for k in right])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], np.repeat(np.arange(len(right)), sizes)[order]
+    for at in left.tolist():
+        if not (group != group[at]).any():
+            continue
+        begin, end = np.searchsorted(hashes, sets[at], "left"), np.searchsorted(hashes, sets[at], "right")
+        many = end - begin
+        places = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(owner[places], minlength=len(right))
+        linked = right[both >= least * (len(sets[at]) + sizes - both)]
+        while len(linked := linked[group[linked] != group[at]]):
+            other = int(linked[0])
+            yield at, other
+            group[group == group[other]] = group[at]
+
+
+def _tiles(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ``(clump, one, two, lot, root, node, hashes)`` come sorted by clump and tile."""
+        for columns in _whole_runs(batches, 3):
+            differ = np.any([np.diff(c) != 0 for c in columns[:3]], axis=0)
+            edges = []
+            for own in np.split(np.arange(len(differ) + 1), np.flatnonzero(differ) + 1):
+                one, two, lot, root, node = (c[own] for c in columns[1:6])
+                sets = [np.frombuffer(columns[6][k], np.uint64) for k in own]
+                left, right = np.flatnonzero(lot == one[0]), np.flatnonzero(lot == two[0])
+                if len(left) and len(right):
+                    edges += [(node[i], node[j]) for i, j in tile_links(sets, root, left, right, least)]
+            yield pa.record_batch([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def clump_links(members: DataFrame, whole: DataFrame, least: float = LEAST, tile_sets: int = TILE_SETS, tile_hashes: int = TILE_HASHES) -> DataFrame:
+    """Links ``(a, b)`` that join ``members(node, n, clump, root)`` of one clump and several roots, by their ``whole(node, hashes)`` sets.
+
+    All pairs of a clump that differ in their root are held against each other,
+    in tiles of two lots; the lots of the clump's largest root aren't held
+    against each other.  A clump of two is one pair, which was checked.
+    """
+    number = lambda m, n: F.greatest(F.ceil(m / F.lit(tile_sets)), F.ceil(n / F.lit(tile_hashes)))
+    groups = members.groupBy("clump", "root").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    clumps = groups.groupBy("clump").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("m", "n", "root")).alias("top")).where("roots > 1 AND m > 2")
+    small = (F.col("m") <= tile_sets) & (F.col("n") <= tile_hashes)
+    first = F.when(small, 0).otherwise(number(F.col("top.m"), F.col("top.n")))
+    rest = F.when(small, 1).otherwise(F.greatest(F.lit(1), number(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n"))))
+    plan = cut(clumps.select("clump", F.col("top.root").alias("top"), first.cast("int").alias("first"), rest.cast("int").alias("rest")))
+    draw = lambda of: F.pmod(F.xxhash64(F.lit("lot"), "node"), of).cast("int")
+    lot = F.when((F.col("root") == F.col("top")) & (F.col("first") > 0), draw(F.greatest("first", F.lit(1)))).otherwise(F.col("first") + draw(F.col("rest")))
+    dealt = members.select("node", "clump", "root").join(plan, "clump").withColumn("lot", lot)
+    # two lots of the largest root have nothing to join
+    others = F.filter(F.sequence(F.lit(0), F.col("first") + F.col("rest") - 1), lambda j: (F.col("lot") >= F.col("first")) | (j >= F.col("first")))
+    tiles = dealt.select("clump", "lot", "root", "node", F.explode(others).alias("other")).select("clump", F.least("lot", "other").alias("one"), F.greatest("lot", "other").alias("two"), "lot", "root", "node")
+    rows = tiles.join(whole, "node").select("clump", "one", "two", "lot", "root", "node", "hashes").repartition("clump", "one", "two")
+    return rows.sortWithinPartitions("clump", "one", "two").mapInArrow(_tiles(least), "a long, b long")
+
+
 def links(docs: DataFrame, reps: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """The candidate pairs ``(a, b)`` whose whole sets have a similarity of at least ``least``; sizes are compared first."""
-    side = lambda node: reps.select(F.col("node").alias(node), F.col("n").alias(f"n_{node}"))
-    pairs = cut(candidates(reps).join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")).select("a", "b"))
-    needed = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "first"), "node"))
-    wanted = needed.select(*[F.col(f"first.{c}").alias(f"_{c}") for c in ("doc_id", "one", "two")])
+    """Edges ``(a, b)`` whose components are those of all pairs within a clump of candidates with a similarity of at least ``least``.
+
+    The candidates are checked first, sizes before sets; what they leave apart
+    in a clump is held against each other by ``clump_links``.
+    """
+    found = cut(candidates(reps))
+    nodes = cut(found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(reps.select("node", "n", "first"), "node"))
+    wanted = nodes.select(*[F.col(f"first.{c}").alias(f"_{c}") for c in ("doc_id", "one", "two")])
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
     # a merge join at every size, as what is needed grows with the input
     texts = keyed(docs, id_col, text_col).join(wanted.hint("merge"), same, "left_semi").select("text")
     whole = cut(texts.mapInArrow(_sets(shingle), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    side = lambda node: nodes.select(F.col("node").alias(node), F.col("n").alias(f"n_{node}"))
+    pairs = cut(found.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")).select("a", "b"))
     sets = lambda node, value: whole.select(F.col("node").alias(node), F.col("hashes").alias(value))
-    return cut(pairs.join(sets("a", "x"), "a").join(sets("b", "y"), "b").mapInArrow(_checked(least), "a long, b long"))
+    checked = cut(pairs.join(sets("a", "x"), "a").join(sets("b", "y"), "b").mapInArrow(_checked(least), "a long, b long"))
+    clumps, roots = cut(connected_components(found).withColumnRenamed("root", "clump")), cut(connected_components(checked))
+    members = cut(nodes.select("node", "n").join(clumps, "node").join(roots, "node", "left").select("node", "n", "clump", F.coalesce("root", "node").alias("root")))
+    return cut(members.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(clump_links(members, whole, least)))
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -110,6 +110,71 @@ def test_keys_are_joined_like_whole_groups(lot, step):
                 assert all((group[x] == group[y]) or (fp[x] ^ fp[y]).bit_count() > 18 for y in own)
 
 
+@pytest.mark.parametrize(("lot", "step"), [(4, 3), (8, 1000)])
+def test_lots_of_a_key_lose_no_near_rows(lot, step):
+    rng = random.Random(lot)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    rows = sorted({(key, rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9)))): 1000 * key + k for key in range(10) for k in range(rng.choice([2, 20, 60]))}.items())
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    batches = [pa.record_batch([pa.array([r[0][0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([signed(r[0][1]) for r in part], pa.int64())], names=["key", "node", "w0"]) for part in (rows[k : k + step] for k in range(0, len(rows), step))]
+    pairs = [(x["a"], x["b"]) for b in similar._forests(12, lot)(iter(batches)) for x in b.to_pylist()]
+    group = {r[1]: r[1] for r in rows}
+    for a, b in pairs:
+        group = {x: group[a] if g == group[b] else g for x, g in group.items()}
+    near = [(x, y) for (k, p), x in rows for (j, q), y in rows if k == j and x < y and (p ^ q).bit_count() <= 12]
+    assert near and all(group[x] == group[y] for x, y in near)
+    assert len(pairs) < len(rows)
+
+
+def _joined(nodes, pairs):
+    """The least node of each node's component."""
+    group = {x: x for x in nodes}
+    for a, b in pairs:
+        least = min(group[a], group[b])
+        group = {x: least if g in (group[a], group[b]) else g for x, g in group.items()}
+    return group
+
+
+def _alike(sets):
+    """All pairs of ``sets`` at 0.8 or more."""
+    ids = sorted(sets)
+    return [(i, j) for n, i in enumerate(ids) for j in ids[n + 1 :] if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+
+def _variants(seed, groups, each):
+    """Texts of ``groups`` of the same 120 words; two of a group differ in 0 to 6 words, so many are near 0.8 on either side."""
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
+        base = rng.sample(WORDS, 120)
+        for k in range(each):
+            words = list(base)
+            for at in rng.sample(range(0, 120, 12), rng.randrange(1, 4)):
+                words[at] = f"v{g}x{k}x{at}"
+            rows.append((1000 * g + k, " ".join(words)))
+    return rows
+
+
+def test_pairs_that_a_forest_passes_over_are_found(spark):
+    rows = _variants(3, 8, 25)
+    sets = {i: frozenset(similar.shingles(t.encode()).tolist()) for i, t in rows}
+    found = similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == _joined(sets, _alike(sets))
+
+
+@pytest.mark.parametrize(("tile_sets", "tile_hashes"), [(4, 1 << 18), (512, 1000), (512, 1 << 18)])
+def test_tiles_join_what_is_left_apart(spark, tile_sets, tile_hashes):
+    rows = _variants(7, 3, 30)
+    arrays = {i: similar.shingles(t.encode()) for i, t in rows}
+    sets = {i: frozenset(x.tolist()) for i, x in arrays.items()}
+    every = _alike(sets)
+    root = _joined(sets, every[::3])
+    members = spark.createDataFrame([(i, len(sets[i]), i // 1000, root[i]) for i in sets], "node long, n long, clump long, root long")
+    whole = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in arrays.items()], "node long, hashes binary")
+    pairs = [(r.a, r.b) for r in similar.clump_links(members, whole, 0.8, tile_sets, tile_hashes).collect()]
+    assert set(pairs) <= {*every, *[(b, a) for a, b in every]}
+    assert _joined(sets, [*root.items(), *pairs]) == _joined(sets, every) != root
+
+
 def test_wide_prints_are_simhashes_word_by_word():
     found = similar.shingles(b" ".join(b"w%d" % (k * k % 97) for k in range(60)))
     bits = similar.wide_print(found)
