@@ -22,6 +22,10 @@ sets of a clump that the links found so far leave apart are held against each
 other, in tiles of two lots, and no pair that meets within ``REACH`` is lost.
 Rows grow with a clump's sets times its lots.
 
+Sets of few shingles give coarse fingerprints, which meet less often.  Two of
+them at 0.8 differ by one shingle that one has and the other hasn't, so those
+of at most ``FEW`` are also looked up by what is left without each shingle.
+
 Style: Arrow batches for fingerprints, distances and checks; grouping, joining
 and the components are DataFrame operations.
 """
@@ -48,6 +52,8 @@ TABLES, SEGMENT = 12, 20
 REACH = 58
 #: Rows of a key up to which its forest is a minimum one; of a larger key that holds within such lots, in the order of their first words.
 LOT = 512
+#: Shingles of a set up to which its neighbours are looked up: two of 9 at 0.8 may differ in one shingle each.
+FEW = 8
 #: Sets and hashes of a lot of a clump; a task holds two lots.
 TILE_SETS, TILE_HASHES = 512, 1 << 18
 
@@ -92,7 +98,7 @@ def _set_id(found: np.ndarray) -> int:
 
 
 def _signatures(shingle: int):
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +108,10 @@ def _signatures(shingle: int):
                 found = shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)
                 bits = wide_print(found)
                 words = np.packbits(bits, bitorder="little").view("<i8").tolist()
-                rows.append((_set_id(found), len(found), words, (bits[: TABLES * SEGMENT].reshape(TABLES, SEGMENT) @ _PLACES).tolist()))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.record_batch([*keys, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "one", "two", "node", "n", "words", "segments"])
+                fewer = [_set_id(np.delete(found, k)) for k in range(len(found))] if len(found) <= FEW else []
+                rows.append((_set_id(found), len(found), words, (bits[: TABLES * SEGMENT].reshape(TABLES, SEGMENT) @ _PLACES).tolist(), fewer))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.record_batch([*keys, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "one", "two", "node", "n", "words", "segments", "fewer"])
 
     return run
 
@@ -298,6 +305,13 @@ def _tiles(least: float):
     return run
 
 
+def one_apart(reps: DataFrame, least: float = LEAST) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of ``reps(node, n, fewer)`` of at most ``FEW`` shingles, of which one is the other without a shingle."""
+    less = reps.where((F.col("n") <= FEW) & (F.col("n") - 1 >= least * F.col("n"))).select(F.col("node").alias("more"), F.explode("fewer").alias("node"))
+    pairs = less.join(reps.where(F.col("n") < FEW).select("node"), "node")
+    return pairs.select(F.least("node", "more").alias("a"), F.greatest("node", "more").alias("b")).distinct()
+
+
 def clump_links(members: DataFrame, whole: DataFrame, least: float = LEAST, tile_sets: int = TILE_SETS, tile_hashes: int = TILE_HASHES) -> DataFrame:
     """Links ``(a, b)`` that join ``members(node, n, clump, root)`` of one clump and several roots, by their ``whole(node, hashes)`` sets.
 
@@ -328,7 +342,7 @@ def links(docs: DataFrame, reps: DataFrame, text_col: str = "text", id_col: str
     The candidates are checked first, sizes before sets; what they leave apart
     in a clump is held against each other by ``clump_links``.
     """
-    found = cut(candidates(reps))
+    found = cut(candidates(reps).union(one_apart(reps, least)).distinct())
     nodes = cut(found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(reps.select("node", "n", "first"), "node"))
     wanted = nodes.select(*[F.col(f"first.{c}").alias(f"_{c}") for c in ("doc_id", "one", "two")])
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
@@ -347,8 +361,8 @@ def links(docs: DataFrame, reps: DataFrame, text_col: str = "text", id_col: str
 def _nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows' fingerprints, the distinct sets with their least rows, and the sets' components."""
     small_batches(docs.sparkSession)
-    prints = cut(keyed(docs, id_col, text_col).mapInArrow(_signatures(shingle), "doc_id long, one long, two long, node long, n long, words array<long>, segments array<long>"))
-    reps = cut(prints.groupBy("node").agg(first_row().alias("first"), F.first("n").alias("n"), F.first("words").alias("words"), F.first("segments").alias("segments")))
+    prints = cut(keyed(docs, id_col, text_col).mapInArrow(_signatures(shingle), "doc_id long, one long, two long, node long, n long, words array<long>, segments array<long>, fewer array<long>"))
+    reps = cut(prints.groupBy("node").agg(first_row().alias("first"), F.first("n").alias("n"), F.first("words").alias("words"), F.first("segments").alias("segments"), F.first("fewer").alias("fewer")))
     return prints, reps, connected_components(links(docs, reps, text_col, id_col, shingle, least))
 
 

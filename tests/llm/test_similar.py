@@ -161,6 +161,19 @@ def test_pairs_that_a_forest_passes_over_are_found(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == _joined(sets, _alike(sets))
 
 
+def test_short_texts_are_found_whatever_their_fingerprints(spark):
+    rng, rows = random.Random(4), []
+    for k in range(120):
+        words = rng.sample(WORDS, 8 + k % 4)
+        # 4 to 7 shingles, and one more
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words, "more"])), (10 * k + 2, " ".join(["before", "it", *words]))]
+    sets = {i: frozenset(similar.shingles(t.encode()).tolist()) for i, t in rows}
+    every = _alike(sets)
+    assert len(every) == 120
+    found = similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == _joined(sets, every)
+
+
 @pytest.mark.parametrize(("tile_sets", "tile_hashes"), [(4, 1 << 18), (512, 1000), (512, 1 << 18)])
 def test_tiles_join_what_is_left_apart(spark, tile_sets, tile_hashes):
     rows = _variants(7, 3, 30)
