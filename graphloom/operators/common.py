@@ -46,6 +46,30 @@ def numbered(frame: DataFrame, *order, name: str = "n") -> DataFrame:
     return dealt.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_part", "_within", "_before")
 
 
+#: Rows that a task holds in its hash tables and sorts, on average; small tables are dealt to all cores, but not in lots under ``LEAST``.
+LOT, LEAST = 500_000, 100_000
+
+
+def lots(spark: SparkSession, rows: int) -> int:
+    """Into how many tasks ``rows`` are dealt; their number grows with the rows, whatever the number of shuffle partitions."""
+    return max(1, -(-rows // LOT), min(spark.sparkContext.defaultParallelism, -(-rows // LEAST)))
+
+
+def dealt(frame: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``frame`` in ``n`` tasks by a hash of ``keys``, with the task as ``_lot``.
+
+    Joins and groups that have ``_lot`` among their keys stay in their task, and
+    nothing makes larger tasks of these.
+    """
+    return frame.withColumn("_lot", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartitionById(n, F.col("_lot"))
+
+
+def counted(pairs: DataFrame, n: int) -> DataFrame:
+    """``src, dst, w``: how often each pair is in ``pairs(_lot, src, dst)``, summed inside the lots first and then in ``n`` tasks."""
+    inside = pairs.groupBy("_lot", "src", "dst").agg(F.count("*").alias("w"))
+    return inside.repartition(n, "src", "dst").groupBy("src", "dst").agg(F.sum("w").cast("long").alias("w"))
+
+
 #: Up to so many rows, the first rows of an order meet in one task.
 FEW = 10_000
 
