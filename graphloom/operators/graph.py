@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.common import cut, first_n, numbered
+from graphloom.operators.common import cut, first_n
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -84,9 +84,10 @@ def high_low(edges: DataFrame, fraction: float) -> DataFrame:
 
 
 def degree_products(edges: DataFrame) -> DataFrame:
-    """``src, dst, w, product`` of the ends' degrees."""
+    """``src, dst, w, product`` of the ends' degrees; tasks hold degrees, and the edges pass by."""
+    edges = cut(edges.select("src", "dst", "w"))
     deg = degrees(edges).select("v", "k")
-    source, target = deg.toDF("src", "k_src"), deg.toDF("dst", "k_dst")
+    source, target = (deg.toDF(end, f"k_{end}").hint("shuffle_hash") for end in ("src", "dst"))
     return edges.join(source, "src").join(target, "dst").select("src", "dst", "w", (F.col("k_src") * F.col("k_dst")).alias("product"))
 
 
@@ -100,11 +101,17 @@ def top_edges(edges: DataFrame, n: int) -> DataFrame:
 
 
 def influential_by_edges(edges: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` distinct ends met while edges are walked by falling degree product, sources before targets."""
-    ranked = numbered(degree_products(edges).select("src", "dst", "product").distinct(), *edge_order(), name="rank")
-    ends = ranked.select(F.posexplode(F.array("src", "dst")).alias("side", "v"), "rank")
-    first = cut(ends.groupBy("v").agg(F.min(F.struct("rank", "side")).alias("first")))
-    return first_n(first, n, F.col("first.rank"), F.col("first.side"), F.col("v")).select("v")
+    """The first ``n`` distinct ends met while edges are walked by falling degree product, sources before targets.
+
+    An end is first met on an edge of its largest product, so only edges that
+    reach the ``n``-th largest of these are put in order.
+    """
+    products = cut(degree_products(edges).select("src", "dst", "product"))
+    best = products.select(F.explode(F.array("src", "dst")).alias("v"), "product").groupBy("v").agg(F.max("product").alias("product"))
+    least = first_n(best.select("product"), n, F.desc("product")).agg(F.min("product")).first()[0]
+    ends = products.where(F.col("product") >= F.lit(least).cast("long")).select(F.posexplode(F.array("src", "dst")).alias("side", "v"), "product", "src", "dst")
+    first = cut(ends.groupBy("v").agg(F.min(F.struct((-F.col("product")).alias("product"), "src", "dst", "side")).alias("first")))
+    return first_n(first, n, F.col("first"), F.col("v")).select("v")
 
 
 def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -20,10 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier to customer, one edge for each line of an order; customers' ids are shifted."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    pairs = lines.join(orders, lines.l_orderkey == orders.o_orderkey).groupBy("l_suppkey", "o_custkey").agg(F.count("*").alias("w"))
-    return pairs.select(F.col("l_suppkey").alias("src"), (F.col("o_custkey") + CUSTOMERS).alias("dst"), "w")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("order"), "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("order"), "o_custkey")
+    n = lots(spark, max(lines.count(), orders.count()))
+    joined = dealt(lines, n, "order").join(dealt(orders, n, "order"), ["_lot", "order"])
+    return counted(joined.select("_lot", F.col("l_suppkey").alias("src"), (F.col("o_custkey") + CUSTOMERS).alias("dst")), n)
 
 
 def trade_nations(spark: SparkSession, sf_dir: str) -> DataFrame:

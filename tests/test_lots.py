@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import common
+from graphloom.operators import common, graph
 from graphloom.sources import tables as src
 
 
@@ -43,3 +43,33 @@ def test_part_pairs_are_dealt_by_their_number(spark, tmp_path, monkeypatch, smal
 
 def test_part_pairs_of_no_lines(spark, tmp_path):
     assert src.parts(spark, lineitem(spark, tmp_path, [])).isEmpty()
+
+
+def test_trade_is_dealt_by_its_lines(spark, tmp_path, small_lots):
+    rng = random.Random(2)
+    lines = [(rng.randrange(900), 1, rng.randrange(20)) for _ in range(3_000)] + [(None, 1, 1), (5_000, 1, 1)]
+    orders = [(o, rng.randrange(40)) for o in range(1_000)] + [(7, 3), (None, 2)]
+    spark.createDataFrame(orders, "o_orderkey int, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = src.trade(spark, lineitem(spark, tmp_path, lines))
+    of = {}
+    for o, c in orders:
+        of.setdefault(o, []).append(c)
+    want = Counter((s, c + src.CUSTOMERS) for o, _, s in lines if o is not None for c in of.get(o, []))
+    assert {(r.src, r.dst): r.w for r in found.collect()} == want
+    assert found.rdd.getNumPartitions() >= 30 and max(tasks(found)) <= 200
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_influential_ends_put_few_edges_in_order(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
+    rng = random.Random(3)
+    edges = sorted({(min(rng.randrange(200), rng.randrange(200)), 200 + rng.randrange(60)) for _ in range(1_500)} | {(v, v) for v in range(0, 200, 9)})
+    k = Counter(v for e in edges for v in e)
+    k.subtract(a for a, b in edges if a == b)
+    met = list(dict.fromkeys(v for a, b in sorted(edges, key=lambda e: (-k[e[0]] * k[e[1]], e)) for v in (a, b)))
+    ordered = []
+    monkeypatch.setattr(graph, "first_n", lambda frame, *rest: ordered.append(frame.count()) or common.first_n(frame, *rest))
+    frame = spark.createDataFrame([(a, b, 1) for a, b in edges], "src long, dst long, w long").cache()
+    for n in (0, 1, 30, 500):
+        assert sorted(r.v for r in graph.influential_by_edges(frame, n).collect()) == sorted(met[:n])
+        assert n == 500 or ordered[-1] <= 2 * n + 20 < len(met)
