@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.common import numbered
+from graphloom.operators.common import cut, numbered
 from graphloom.operators.graph import degrees
 
 
@@ -160,10 +160,11 @@ def difficulty(matrix: DataFrame, assignment: DataFrame) -> DataFrame:
 
 def same_relation(a: DataFrame, b: DataFrame) -> bool:
     """Whether two relations hold the same rows as often."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    both = a.withColumn("_n", F.lit(1)).union(b.withColumn("_n", F.lit(-1)))
+    return both.groupBy(a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0").isEmpty()
 
 
 def valid(edges: DataFrame, assignment: DataFrame, matrix: DataFrame, block_table: DataFrame) -> bool:
     """Whether a carried model equals one built anew from its labels."""
-    fresh = block_matrix(edges, assignment)
+    fresh = cut(block_matrix(edges, assignment))
     return same_relation(fresh, matrix.select("r", "c", "w")) and same_relation(blocks(fresh, assignment), block_table)

@@ -116,7 +116,8 @@ def _trade_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def _nation_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges, labels = src.nations(spark, sf), src.nation_regions(spark, sf)
+    """The trade between nations is written once: models and moves read it again and again."""
+    edges, labels = cut(src.nations(spark, sf)), src.nation_regions(spark, sf)
     return edges, labels, bm.block_matrix(edges, labels)
 
 

@@ -1,5 +1,6 @@
 """What tasks hold: lots whose number grows with the rows, whatever the number of shuffle partitions."""
 
+import os
 import random
 from collections import Counter
 from itertools import combinations
@@ -7,9 +8,13 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import blockmodel as bm
 from graphloom.operators import common, graph
+from graphloom.plans import catalogue
 from graphloom.sources import tables as src
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def small_lots(monkeypatch):
@@ -73,3 +78,31 @@ def test_influential_ends_put_few_edges_in_order(spark, monkeypatch, few):
     for n in (0, 1, 30, 500):
         assert sorted(r.v for r in graph.influential_by_edges(frame, n).collect()) == sorted(met[:n])
         assert n == 500 or ordered[-1] <= 2 * n + 20 < len(met)
+
+
+def test_a_model_is_checked_by_one_reading_of_its_edges(spark):
+    edges = spark.createDataFrame([(v, (v * 7) % 30, 1 + v % 3) for v in range(30)], "src long, dst long, w long").cache()
+    labels = spark.range(30).select(F.col("id").alias("v"), (F.col("id") % 4).alias("b"))
+    matrix = common.cut(bm.block_matrix(edges, labels))
+    table = common.cut(bm.blocks(matrix, labels))
+    read = spark.sparkContext.accumulator(0)
+
+    def passing(row):
+        read.add(1)
+        return row
+
+    assert bm.valid(spark.createDataFrame(edges.rdd.map(passing), edges.schema), labels, matrix, table)
+    assert read.value == 30
+    assert not bm.valid(edges, labels.select("v", F.when(F.col("v") == 3, 0).otherwise(F.col("b")).cast("long").alias("b")), matrix, table)
+
+
+def test_same_relation_counts_rows_and_nulls(spark):
+    frame = lambda *rows: spark.createDataFrame([(r, 1) for r in rows], "a long, b long")
+    assert bm.same_relation(frame(1, None, 1), frame(None, 1, 1).toDF("x", "y")) and bm.same_relation(frame(), frame())
+    assert not bm.same_relation(frame(1, 1, None), frame(1, None)) and not bm.same_relation(frame(1), frame(1, None))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_models_of_nations_read_the_lines_once(spark):
+    edges, _, matrix = catalogue._nation_model(spark, DATA)
+    assert not [f for frame in (edges, matrix) for f in frame.inputFiles() if "lineitem" in f]
